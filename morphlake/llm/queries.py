@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import find_contamination
 from .exact_dedup import exact_groups
+from .warc import archive_round_trip
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,10 +25,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_decontaminate": op2_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN b >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN b >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM (SELECT page_id, octet_length(encode(h)) AS b, sha256(h) AS d, min(page_id) OVER (PARTITION BY h) AS first_id
+              FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+    """,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY t) AS keep_id,
