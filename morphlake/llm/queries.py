@@ -14,6 +14,7 @@ from .exact_dedup import exact_groups
 from .packing import pack_documents
 from .simhash import near_groups
 from .token_store import store_round_trip
+from .toxicity import toxicity
 from .warc import archive_round_trip
 
 
@@ -38,6 +39,10 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), spans=False).drop("spans")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
     "op6_pack": op6_pack,
+    "op7_toxicity": op7_toxicity,
     "op10_token_store": op10_token_store,
 }
 
