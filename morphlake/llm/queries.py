@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_groups
+from .langid import identify
 from .packing import pack_documents
 from .simhash import near_groups
 from .token_store import store_round_trip
@@ -43,6 +44,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), spans=False).drop("spans")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).drop("languages")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_pack": op6_pack,
     "op7_toxicity": op7_toxicity,
+    "op9_langid": op9_langid,
     "op10_token_store": op10_token_store,
 }
 
