@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_groups
 from .langid import identify
 from .packing import pack_documents
+from .rollup import Rollup, count_tokens, inserts
+from .secrets import digest_columns, scan
 from .simhash import near_groups
 from .token_store import store_round_trip
 from .toxicity import toxicity
@@ -27,6 +29,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(scan(table(spark, sf_dir, "documents")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), spans=False).drop("spans")
 
 
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document inserted in one batch, which is then replayed."""
+    rollup = Rollup(spark, new_path(spark, "rollup"))
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k")
+    for _ in range(2):
+        rollup.commit("documents", inserts(counted))
+    return rollup.totals()
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).drop("languages")
 
@@ -55,10 +70,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
+    "op3_secrets": op3_secrets,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
     "op6_pack": op6_pack,
     "op7_toxicity": op7_toxicity,
+    "op8_token_rollup": op8_token_rollup,
     "op9_langid": op9_langid,
     "op10_token_store": op10_token_store,
 }
