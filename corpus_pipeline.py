@@ -1,18 +1,49 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again.
+
+Every stage works on all that the one before kept.  All but the last return the
+columns of ``documents``; packing returns one row per piece of a document.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from morphlake.llm.common import new_path, table
+from morphlake.llm.decontaminate import drop_contaminated
 from morphlake.llm.exact_dedup import drop_exact_copies
+from morphlake.llm.packing import pack_documents
+from morphlake.llm.simhash import drop_near_copies
+from morphlake.llm.toxicity import drop_toxic, fit
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field scores as toxic go; it learns from the labelled
+    rows of the whole table, whatever ``docs`` is."""
+    return drop_toxic(docs, fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the one with the smallest id stays."""
+    return drop_near_copies(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("simhash", simhash), ("decontaminate", decontaminate), ("pack", pack)]
 
 #: No SQL can express the stages; tests hold them against brute force.
 ORACLE_SQL = None
