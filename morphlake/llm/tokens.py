@@ -16,22 +16,25 @@ import json
 import re
 from array import array
 
-import regex
 from tokenizers import Tokenizer
 
-#: Entries of each cache; the first words of a corpus are its frequent ones.
-MAX_CACHED = 400_000
+#: Entries of the caches of segments and of their pieces; the first words of a
+#: corpus are its frequent ones.
+MAX_SEGMENTS, MAX_PIECES = 600_000, 1_000_000
 
-# fixed values: the split patterns of the two vocabularies
-BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters and digits up to U+024F, which have the same class in every version
+#: of Unicode in use; segments with characters beyond go to the library whole.
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+# fixed values: the split patterns of the two vocabularies, for those characters
+BYTE_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+WORD_SPLIT_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: White space other than the space, for which a text takes the careful cut.
 _ODD_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _CAREFUL = re.compile(r"(?<=\S) (?=\S)")
 _TIGHT = tuple(a + b for a in " \t\n\r" for b in " \t\n\r" if " " in a + b)
-#: Letters up to here have the same class in every version of Unicode in use.
-_PLAIN = re.compile(r"[\x00-\x7f\xa1-ɏ]*\Z")
+_PLAIN = re.compile("[\x00-\x1b\x20-\x7f\xa1-\u024f]*\\Z")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,13 +49,13 @@ _LETTERS = _byte_letters()
 
 
 class _Cache(dict):
-    def __init__(self, make) -> None:
+    def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
-        if len(self) < MAX_CACHED:
+        if len(self) < self.most:
             self[key] = value
         return value
 
@@ -68,12 +71,11 @@ class Encoder:
         self.kind = "whole"
         if about.get("post_processor") is None and about["model"]["type"] == "BPE" and not any(" " in x for x in self.added):
             if before is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
-                self.kind, self.pattern = "byte", regex.compile(BYTE_SPLIT)
-            elif before is not None and WORD_SPLIT in json.dumps(split).replace("\\\\", "\\"):
-                self.kind, self.pattern = "word", regex.compile(WORD_SPLIT)
-        self.pieces = _Cache(self._piece)
-        self.rest = _Cache(self._after_space if self.kind == "byte" else self._segment)
-        self.first = _Cache(self._segment)
+                self.kind, self.pattern = "byte", BYTE_SPLIT
+            elif before is not None and WORD_SPLIT_SOURCE in json.dumps(split).replace("\\\\", "\\"):
+                self.kind, self.pattern = "word", WORD_SPLIT
+        self.pieces = _Cache(self._piece, MAX_PIECES)
+        self.rest = _Cache(self._after_space if self.kind == "byte" else self._segment, MAX_SEGMENTS)
 
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(_LETTERS)
@@ -82,7 +84,7 @@ class Encoder:
     def _segment(self, segment: str) -> bytes:
         if not segment:
             return b""
-        if not _PLAIN.match(segment) or any(x in segment for x in self.added):
+        if not _PLAIN.match(segment):
             return self.library(segment)
         if self.kind == "word":
             segment = self.tokenizer.normalizer.normalize_str(segment)
@@ -97,13 +99,13 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.kind == "whole":
+        if self.kind == "whole" or any(x in text for x in self.added):
             return self.library(text)
         if any(x in text for x in _TIGHT) or any(x in text for x in _ODD_SPACE):
             first, *rest = _CAREFUL.split(text)
         else:
             first, *rest = text.split(" ")
-        return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
+        return self._segment(first) + b"".join(map(self.rest.__getitem__, rest))
 
 
 _encoders: dict[str, Encoder] = {}
