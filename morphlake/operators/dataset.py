@@ -295,9 +295,10 @@ def leakage(splits: DataFrame) -> DataFrame:
 
 
 def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Keys that one side alone has."""
+    """Keys that one side alone has, and which side that is."""
     left, right = a.select(key).distinct().withColumn("in_a", F.lit(True)), b.select(key).distinct().withColumn("in_b", F.lit(True))
-    return left.join(right, key, "full").where(F.col("in_a").isNull() | F.col("in_b").isNull())
+    alone = left.join(right, key, "full").where(F.col("in_a").isNull() | F.col("in_b").isNull())
+    return alone.select(key, F.when(F.col("in_a"), F.lit("a")).otherwise(F.lit("b")).alias("only_in"))
 
 
 def prefix_differences(short: DataFrame, long: DataFrame, key: str, place: str) -> DataFrame:
