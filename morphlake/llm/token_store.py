@@ -3,8 +3,9 @@
 Each document's id stream is cut where a rolling hash of the last ids says so,
 and every chunk is known by its BLAKE2 digest.  A folder holds
 
-``chunks/``    Parquet: ``digest, n, ids``; each distinct chunk once, ids as
-               little-endian unsigned integers of ``width`` bytes;
+``all/``       Parquet: rows of kind ``chunks`` (``key``: digest, ``n``, ``ids``),
+               each distinct chunk once, ids as little-endian unsigned integers
+               of ``width`` bytes, and the recipes as the tasks made them;
 ``recipes/``   Parquet in ascending id order: ``part, idx, doc_id, n_tokens,
                before, root, chunks`` - the document's ordered digests, ``root``
                their digest, ``before`` the ids ahead of it within its part;
@@ -157,13 +158,15 @@ def _encoded(docs: DataFrame, source, end_id: int, width: int) -> DataFrame:
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows, chunks that the row before repeats are left out."""
-    last = None
+    """Each chunk once; equal digests are all in one partition, whose digests
+    (16 bytes a chunk) are remembered."""
+    seen: set[bytes] = set()
     for batch in batches:
         keep = []
         for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            keep.append(kind != "chunks" or key != last)
-            last = key if kind == "chunks" else None
+            keep.append(kind != "chunks" or key not in seen)
+            if kind == "chunks":
+                seen.add(key)
         yield batch.filter(pa.array(keep))
 
 
@@ -203,10 +206,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str =
     (
         _encoded(rows, source, end_id, width)
         .repartition(n, "key")
-        .sortWithinPartitions("kind", "key")
         .mapInArrow(_first_of_each, _ROWS)
         .write.option("compression", "zstd")
-        .partitionBy("kind")
+        .option("parquet.compression.codec.zstd.level", "1")
         .parquet(f"{folder}/all")
     )
     listed = _read(spark, f"{folder}/all", "recipes").select("doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("root"), "chunks")
@@ -216,7 +218,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str =
 
 
 def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(f"{_ROWS.removeprefix('kind string, ')}, kind string").parquet(path).where(F.col("kind") == kind)
+    return spark.read.schema(_ROWS).parquet(path).where(F.col("kind") == kind)
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
@@ -229,12 +231,15 @@ def _manifest(recipes: DataFrame) -> DataFrame:
 def _checked_chunks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, crcs, sizes = batch.column(0).to_pylist(), [], []
-            for key, data in zip(keys, batch.column(1).to_pylist()):
+            keys, contents, crcs, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
+            wide, at = memoryview(np.frombuffer(b"".join(contents), f"<u{width}").astype("<u4").tobytes()), 0
+            for key, data in zip(keys, contents):
                 if digest(data) != key:
                     raise ValueError(f"chunk {key.hex()} does not match its digest")
-                crcs.append(zlib.crc32(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()))
-                sizes.append(len(data) // width)
+                n = len(data) // width
+                crcs.append(zlib.crc32(wide[4 * at : 4 * (at + n)]))
+                sizes.append(n)
+                at += n
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int64())], ["key", "crc", "size"])
 
     return run
