@@ -367,6 +367,8 @@ def _same(x: Value, y: Any) -> Column:
 
 
 def _less(x: Value, operator: str, y: Any) -> Column:
+    if isinstance(x.kind, T.ArrayType) and isinstance(y, list):
+        return F.coalesce(_list_less(x, operator, y, 0), F.lit(False))
     numbers = isinstance(y, (bool, int, float)) and (X.is_number(x.kind) or isinstance(x.kind, T.BooleanType))
     texts = isinstance(y, str) and isinstance(x.kind, T.StringType)
     if not (numbers or texts):
@@ -379,6 +381,17 @@ def _less(x: Value, operator: str, y: Any) -> Column:
     return made
 
 
+def _list_less(x: Value, operator: str, y: list, k: int) -> Column:
+    """Arrays in order of their first items that differ, shorter ones first."""
+    size = F.size(x.col)
+    if k == len(y):
+        equal, longer = F.lit(operator in ("ge", "le")), F.lit(operator in ("gt", "ge"))
+        return F.when(size == k, equal).otherwise(longer)
+    item = Value(F.get(x.col, F.lit(k)), x.kind.elementType)
+    strict = "lt" if operator in ("lt", "le") else "gt"
+    return F.when(size == k, F.lit(strict == "lt")).when(_same(item, y[k]), _list_less(x, operator, y, k + 1)).otherwise(_less(item, strict, y[k]))
+
+
 def predicate(x: Value, operator: str, y: Any) -> Column:
     """A condition on a value; false where the types do not allow it."""
     if operator == "exists":
