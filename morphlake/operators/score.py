@@ -13,9 +13,11 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.analyze import check
 from ..plans.program import Program, parse
@@ -139,6 +141,12 @@ def score_table(df: DataFrame, mode: str = "dense", completion: str = "completio
     return df.mapInArrow(run, schema)
 
 
+@F.pandas_udf(T.LongType())
+def gold_leaves(cases: pd.Series) -> pd.Series:
+    """Leaves of all expected targets in the JSON text of a list of cases."""
+    return cases.map(lambda text: sum(leaf_counts(None, c["expected"])[2] for c in json.loads(text or "[]")))
+
+
 def rewards(df: DataFrame, mode: str = "dense", **columns: str) -> DataFrame:
     """The batch reward callback's table: sample, completion, reward and why."""
     scored = score_table(df, mode, **columns)
