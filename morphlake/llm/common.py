@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _own_dirs: dict[str, str] = {}
+_held: dict[str, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("a cluster must name its shared folder in spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="morphlake-")
@@ -66,3 +72,12 @@ def spare_name(df: DataFrame, wanted: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: the last large object only,
+    whichever operator it belongs to, so that stages do not add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, spare_name
+from .common import held, materialize, spare_name
 
 WINDOW = 13
 #: A document is contaminated if it has hits and at least one word in SHARE is hit.
@@ -103,17 +103,6 @@ class Windows:
         return hit, items
 
 
-_built: dict[str, Windows] = {}
-
-
-def _windows(key: str, items: list[tuple[str, str | None]], window: int) -> Windows:
-    """Built once in each Python worker; the last one only is kept."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = Windows(items, window)
-    return _built[key]
-
-
 def _spans(norm: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     """Runs of hit words as code point offsets in the original text."""
     data = np.frombuffer(norm, np.uint8)
@@ -160,7 +149,7 @@ def _scanned(docs: DataFrame, shipped, key: str, window: int, text_col: str, car
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, FOUND) if last else T.StructField(carry, CARRIED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _windows(key, shipped.value, window)
+        windows = held(key, lambda: Windows(shipped.value, window))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             before = batch.column(batch.schema.get_field_index(carry)).to_pylist() if carried else [None] * len(texts)

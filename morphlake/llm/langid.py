@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 from .toxicity import held_out
 
 SAMPLE_ROWS, MAX_LANGUAGES, MAX_SAMPLE_CHARS = 1000, 200, 20_000
@@ -208,16 +209,6 @@ class _Predictor:
             sets[k] = [names[i] for i in (-row).argsort(kind="stable") if row[i] > 0]
 
 
-_predictors: dict[str, _Predictor] = {}
-
-
-def _predictor(key: str, model: Languages) -> _Predictor:
-    if key not in _predictors:
-        _predictors.clear()
-        _predictors[key] = _Predictor(model)
-    return _predictors[key]
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """The models learned from a sample of the rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("name"), F.col(text_col).alias("body")).where(
@@ -241,7 +232,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shipped, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = _predictor(key, shipped.value)
+        predictor = held(key, lambda: _Predictor(shipped.value))
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)

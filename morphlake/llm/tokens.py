@@ -18,9 +18,11 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from .common import held
+
 #: Entries of the caches of segments and of their pieces; the first words of a
 #: corpus are its frequent ones.
-MAX_SEGMENTS, MAX_PIECES = 600_000, 1_000_000
+MAX_SEGMENTS, MAX_PIECES = 500_000, 900_000
 
 #: Letters and digits up to U+024F, which have the same class in every version
 #: of Unicode in use; segments with characters beyond go to the library whole.
@@ -108,13 +110,6 @@ class Encoder:
         return self._segment(first) + b"".join(map(self.rest.__getitem__, rest))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(source: str) -> Encoder:
     """The encoder of a vocabulary file's text; one in each Python worker."""
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(source)
-    return _encoders[key]
+    return held("encoder " + hashlib.sha256(source.encode()).hexdigest(), lambda: Encoder(source))

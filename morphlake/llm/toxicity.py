@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spare_name
+from .common import held, spare_name
 
-MAX_TOXIC, MAX_CLEAN, MAX_SAMPLE_CHARS = 1500, 2500, 20_000
+MAX_TOXIC, MAX_CLEAN, MAX_SAMPLE_CHARS = 800, 1600, 20_000
 FOLDS = 5
 BUCKETS = 1 << 18
 ROUNDS, RATE, L2, BIAS = 40, 0.35, 2e-5, -7.0
@@ -126,10 +127,15 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Crf:
     lengths = np.array([len(d) for d in docs])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     owner = np.repeat(np.arange(len(docs)), lengths)
-    listed = [features(w) for w in ids]
-    counts = np.array([len(x) for x in listed])
-    flat = np.fromiter((f for x in listed for f in x), np.int64)
-    of_word = np.repeat(np.arange(len(listed)), counts)
+    listed, counts = array("I"), array("I")
+    for word in ids:
+        found = features(word)
+        listed.extend(found)
+        counts.append(len(found))
+    n_words = len(ids)
+    ids.clear()
+    flat = np.frombuffer(listed, np.uint32).astype(np.int32)
+    of_word = np.repeat(np.arange(n_words, dtype=np.int32), counts)
     share = np.where(y, 1.0, clean_weight) / (y.sum() + clean_weight * (~y).sum())
     weights, bias, logs = np.zeros(BUCKETS), BIAS, np.array([0.0, 0.0, 0.0])
     sums, bias_sum, logs_sum = np.full(BUCKETS, 1e-10), 1e-4, np.full(3, 1e-4)
@@ -137,7 +143,7 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Crf:
     first[starts[lengths > 0]] = True
     for _ in range(ROUNDS):
         moves = np.exp(logs)
-        by_word = np.minimum(20.0, bias + np.bincount(of_word, weights[flat], len(listed)))
+        by_word = np.minimum(20.0, bias + np.bincount(of_word, weights[flat], n_words))
         factor = np.exp(by_word)[words]
         log_z, before = forward(factor, starts, lengths, moves, keep=True)
         after = backward(factor, starts, lengths, moves)
@@ -145,7 +151,7 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Crf:
         push = share * np.where(y, -none / np.maximum(1e-6, 1 - none), 1.0)
         push[lengths == 0] = 0
         marginal = before * after / (1 + before * after) * push[owner]
-        grad = np.bincount(flat, np.bincount(words, marginal, len(listed))[of_word], BUCKETS) + L2 * weights
+        grad = np.bincount(flat, np.bincount(words, marginal, n_words)[of_word], BUCKETS) + L2 * weights
         # expected transitions between a token and the one before it
         r = np.where(first, 0.0, np.concatenate(([0.0], before[:-1])))
         ahead = factor * after
@@ -228,16 +234,6 @@ class _Scorer:
         return out
 
 
-_scorers: dict[str, _Scorer] = {}
-
-
-def _scorer(key: str, model: Crf) -> _Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = _Scorer(model)
-    return _scorers[key]
-
-
 VERDICT = T.StructType(
     [T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
 )
@@ -252,7 +248,7 @@ def annotate(docs: DataFrame, model: Crf, name: str, text_col: str = "text", spa
     names = [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(key, shipped.value)
+        scorer = held(key, lambda: _Scorer(shipped.value))
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
