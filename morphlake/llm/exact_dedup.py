@@ -102,12 +102,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Repeated rows (same id, same text) are copies as well: one of them stays.
     """
     found = materialize(exact_groups(docs, id_col, text_col), "decisions")
-    mark, key = spare_name(docs, "digest"), spare_name(docs, "drop_id")
+    mark, key, gone_mark = (spare_name(docs, n) for n in ("digest", "drop_id", "drop_digest"))
     repeated = materialize(found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1"), "repeated")
     again = not repeated.isEmpty()
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(mark + "_"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(gone_mark))
     rows = docs.withColumn(mark, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    left = rows.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(mark + "_")), "left_anti")
+    left = rows.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(gone_mark)), "left_anti")
     if again:
         left = left.dropDuplicates([id_col, mark])
     return left.select(*docs.columns)

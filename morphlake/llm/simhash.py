@@ -33,13 +33,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, spare_name
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: The pipeline's radius: a random pair of texts is that close with 4e-12.
-STAGE_RADIUS = 6
+#: The pipeline's near copies: the radius, and the shingle and radius of a second
+#: fingerprint that confirms a link.  Copies with a similarity of 0.8 in
+#: five-word shingles differ by about 8 and 10 bits; two unrelated texts come
+#: that close in both with a probability of 1e-15.
+STAGE_RADIUS, CONFIRM = 8, (5, 14)
 KEY_ROWS = 4096
 #: Blocks are added until a key has this many fingerprints on average at most.
 KEY_MEAN = 256
@@ -61,15 +65,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: fp is the fingerprint as a signed 64-bit integer."""
+def with_fingerprints(docs: DataFrame, names: list[str], shingles: list[int], text_col: str = "text") -> DataFrame:
+    """``docs`` and a column for each of ``shingles``, the text's fingerprint as a
+    signed 64-bit integer."""
+    at, columns = docs.columns.index(text_col), [*docs.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            texts = batch.column(at).to_pylist()
+            found = [np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64) for k in shingles]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], columns)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 # -- candidate keys --------------------------------------------------------
@@ -92,17 +99,17 @@ def _signed(x: int) -> int:
 
 
 def keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """``t, k, i, j, fp``: what is compared with each other shares all but fp."""
+    """``t, k, i, j, node, fp, fp2``: what is compared shares the first four."""
     keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)))
-    rows = nodes.select("fp", F.explode(keys).alias("x")).select("x.t", "x.k", "fp")
+    rows = nodes.select("node", "fp", "fp2", F.explode(keys).alias("x")).select("x.t", "x.k", "node", "fp", "fp2")
     hot = materialize(rows.groupBy("t", "k").count().where(F.col("count") > KEY_ROWS).select("t", "k", F.ceil(F.col("count") / KEY_ROWS).cast("int").alias("p")), "hot_keys")
     if hot.isEmpty():
-        return rows.select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
-    mine = F.pmod(F.xxhash64("fp"), F.coalesce("p", F.lit(1))).cast("int")
+        return rows.select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "fp", "fp2")
+    mine = F.pmod(F.xxhash64("node"), F.coalesce("p", F.lit(1))).cast("int")
     return (
         rows.join(hot, ["t", "k"], "left")
-        .select("t", "k", "fp", mine.alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("p", F.lit(1)) - 1)).alias("b"))
-        .select("t", "k", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "fp")
+        .select("t", "k", "node", "fp", "fp2", mine.alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("p", F.lit(1)) - 1)).alias("b"))
+        .select("t", "k", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "node", "fp", "fp2")
     )
 
 
@@ -154,10 +161,14 @@ def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tupl
                 yield q[at], w[at] * 64 + lane
 
 
-def spanning(fps: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest with the components of the links: (row, its root)."""
+def spanning(fps: np.ndarray, ends: np.ndarray, radius: int, second: np.ndarray, second_radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components of the links: (row, its root).  A link is
+    within the radius in the first and in the second fingerprint."""
     label = np.arange(len(fps))
     for i, j in close_pairs(fps, ends, radius):
+        if second_radius < 64:
+            confirmed = np.bitwise_count(second[i] ^ second[j]) <= second_radius
+            i, j = i[confirmed], j[confirmed]
         while True:
             a, b = label[i], label[j]
             differ = a != b
@@ -171,14 +182,14 @@ def spanning(fps: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray
     return rows, label[rows]
 
 
-def _compare(radius: int):
+def _compare(radius: int, second_radius: int):
     def found(columns: list[np.ndarray]) -> pa.RecordBatch:
-        fps = columns[4].view(np.uint64)
+        node, fps, second = columns[4], columns[5].view(np.uint64), columns[6].view(np.uint64)
         new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)) + 1
         edges = np.concatenate((new, [len(fps)]))
         ends = np.repeat(edges, np.diff(np.concatenate(([0], edges))))
-        a, b = spanning(fps, ends, radius)
-        return pa.RecordBatch.from_arrays([pa.array(columns[4][a]), pa.array(columns[4][b])], ["a", "b"])
+        a, b = spanning(fps, ends, radius, second, second_radius)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -200,31 +211,42 @@ def _compare(radius: int):
     return run
 
 
-def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """``a, b``: links that connect what the links within the radius connect."""
+def fingerprint_links(nodes: DataFrame, radius: int, second_radius: int = 64) -> DataFrame:
+    """``a, b``: links between nodes that connect what the true links connect."""
     rows = keyed(nodes, key_masks(radius, nodes.count()))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(_compare(radius), "a long, b long")
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``."""
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = materialize(components(materialize(fingerprint_links(nodes, radius), "links")), "roots")
-    placed = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "placed")
+    return rows.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(_compare(radius, second_radius), "a long, b long")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, confirm: tuple[int, int] | None = None) -> DataFrame:
+    """``doc_id, fp, fp2, component_id`` for every row of ``docs``.  confirm: the
+    shingle and radius of a second fingerprint (else ``fp2`` is 0)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shingles = [shingle, confirm[0]] if confirm else [shingle]
+    rows = with_fingerprints(rows, ["fp", "fp2"][: len(shingles)], shingles).drop("text")
+    rows = materialize(rows if confirm else rows.withColumn("fp2", F.lit(0).cast("long")), "fingerprints")
+    nodes = rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first_id"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = materialize(components(materialize(fingerprint_links(nodes, radius, confirm[1] if confirm else 64), "links")).withColumnRenamed("node", "of"), "roots")
+    placed = materialize(nodes.join(roots, F.col("node") == F.col("of"), "left").select("fp", "fp2", "first_id", F.coalesce("root", "node").alias("root")), "placed")
     least = materialize(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    named = materialize(placed.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = STAGE_RADIUS) -> DataFrame:
-    """``docs`` with the smallest id of each group; columns as they came.  Rows
-    that share a group and an id are repeated rows, of which one stays."""
-    found = materialize(near_groups(docs, id_col, text_col, shingle, radius), "groups")
-    key = spare_name(docs, "drop_id")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key))
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.select(*docs.columns)
+    named = materialize(placed.join(least, "root").select("fp", "fp2", "component_id"), "named")
+    return rows.join(named, ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = STAGE_RADIUS, confirm: tuple[int, int] | None = CONFIRM) -> DataFrame:
+    """``docs`` with the smallest id of each group; columns as they came.
+
+    Where ids repeat, rows are told apart by their fingerprints too; of rows
+    that share all of them one stays.
+    """
+    found = materialize(near_groups(docs, id_col, text_col, shingle, radius, confirm), "groups")
+    key, gone_1, gone_2, fp, fp2 = (spare_name(docs, n) for n in ("drop_id", "drop_fp", "drop_fp2", "own_fp", "own_fp2"))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key), F.col("fp").alias(gone_1), F.col("fp2").alias(gone_2))
+    same = F.col(id_col).eqNullSafe(F.col(key))
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(gone, same, "left_anti").select(*docs.columns)
+    marked = with_fingerprints(docs, [fp, fp2] if confirm else [fp], [shingle, confirm[0]] if confirm else [shingle], text_col)
+    marked = marked if confirm else marked.withColumn(fp2, F.lit(0).cast("long"))
+    kept = marked.join(gone, same & (F.col(fp) == F.col(gone_1)) & (F.col(fp2) == F.col(gone_2)), "left_anti")
+    return kept.dropDuplicates([id_col, fp, fp2]).select(*docs.columns)

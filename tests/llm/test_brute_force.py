@@ -153,8 +153,9 @@ def fingerprint(text, n=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def near_groups(docs, radius):
+def near_groups(docs, radius, confirm=None):
     prints = {d: fingerprint(t) for d, t in docs.items()}
+    second = {d: fingerprint(t, confirm[0]) if confirm else 0 for d, t in docs.items()}
     root = {d: d for d in docs}
 
     def find(x):
@@ -164,7 +165,7 @@ def near_groups(docs, radius):
 
     for a in docs:
         for b in docs:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= radius:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= radius and (not confirm or (second[a] ^ second[b]).bit_count() <= confirm[1]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (prints[d], find(d)) for d in docs}
@@ -177,8 +178,8 @@ def test_near_copies(spark, corpus):
 
 def test_near_copies_of_a_hot_key(spark, corpus, monkeypatch):
     monkeypatch.setattr(simhash, "KEY_ROWS", 3)
-    want = {d: c for d, (_, c) in near_groups(corpus[1], 6).items()}
-    got = simhash.near_groups(spark.read.parquet(f"{corpus[0]}/documents.parquet"), radius=6).collect()
+    want = {d: c for d, (_, c) in near_groups(corpus[1], 8, (5, 14)).items()}
+    got = simhash.near_groups(spark.read.parquet(f"{corpus[0]}/documents.parquet"), radius=8, confirm=(5, 14)).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
@@ -357,7 +358,7 @@ def test_pipeline(spark, corpus):
         elif name == "exact_dedup":
             assert kept == {max(d for d, t in before.items() if lower(t) == x) for x in {lower(t) for t in before.values()}}
         elif name == "simhash":
-            assert kept == {c for _, c in near_groups(before, simhash.STAGE_RADIUS).values()}
+            assert kept == {c for _, c in near_groups(before, simhash.STAGE_RADIUS, simhash.CONFIRM).values()}
         elif name == "decontaminate":
             bad = {r.doc_id for r in decontaminate.find_contamination(now, spark.read.parquet(f"{folder}/benchmark.parquet")).collect() if r.contaminated}
             assert bad and kept == before.keys() - bad
