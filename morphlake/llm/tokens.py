@@ -86,11 +86,11 @@ class Encoder:
     def _segment(self, segment: str) -> bytes:
         if not segment:
             return b""
-        if not _PLAIN.match(segment):
+        # what is split is the normalised text: lower-case forms of plain capitals may lie beyond the class
+        plain = self.tokenizer.normalizer.normalize_str(segment) if self.kind == "word" else segment
+        if not _PLAIN.match(plain):
             return self.library(segment)
-        if self.kind == "word":
-            segment = self.tokenizer.normalizer.normalize_str(segment)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(segment)))
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(plain)))
 
     def _after_space(self, segment: str) -> bytes:
         return self._segment(" " + segment)

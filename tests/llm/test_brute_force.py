@@ -207,6 +207,16 @@ def test_encoder_equals_the_library(name):
 
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_on_every_short_letter(name):
+    """Capitals too whose lower-case forms lie beyond U+024F."""
+    path = public_tokenizers.path(name)
+    library, encoder = Tokenizer.from_file(path), tokens.Encoder(open(path).read())
+    for c in map(chr, range(0x250)):
+        for text in (f"{c}li", f"a{c}", f"a{c}b 1{c} {c}{c}"):
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing(spark, corpus):
     got = queries.op6_pack(spark, corpus[0]).collect()
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
