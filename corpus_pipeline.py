@@ -13,7 +13,7 @@ from morphlake.llm.common import new_path, table
 from morphlake.llm.decontaminate import drop_contaminated
 from morphlake.llm.exact_dedup import drop_exact_copies
 from morphlake.llm.packing import pack_documents
-from morphlake.llm.simhash import drop_near_copies
+from morphlake.llm.near_copies import drop_near_copies
 from morphlake.llm.toxicity import drop_toxic, fit
 
 

@@ -35,14 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, spare_name
+from .common import materialize
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: The pipeline's near copies: the radius, and the shingle and radius of a second
-#: fingerprint that confirms a link.  Copies with a similarity of 0.8 in
-#: five-word shingles differ by about 8 and 10 bits; two unrelated texts come
-#: that close in both with a probability of 1e-15.
+#: The rule that the pipeline had before ``near_copies``: a radius, and the shingle
+#: and radius of a second fingerprint; ``test_pipeline`` still reads it.
 STAGE_RADIUS, CONFIRM = 8, (5, 14)
 KEY_ROWS = 4096
 #: Blocks are added until a key has this many fingerprints on average at most.
@@ -232,21 +230,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = materialize(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = materialize(placed.join(least, "root").select("fp", "fp2", "component_id"), "named")
     return rows.join(named, ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = STAGE_RADIUS, confirm: tuple[int, int] | None = CONFIRM) -> DataFrame:
-    """``docs`` with the smallest id of each group; columns as they came.
-
-    Where ids repeat, rows are told apart by their fingerprints too; of rows
-    that share all of them one stays.
-    """
-    found = materialize(near_groups(docs, id_col, text_col, shingle, radius, confirm), "groups")
-    key, gone_1, gone_2, fp, fp2 = (spare_name(docs, n) for n in ("drop_id", "drop_fp", "drop_fp2", "own_fp", "own_fp2"))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key), F.col("fp").alias(gone_1), F.col("fp2").alias(gone_2))
-    same = F.col(id_col).eqNullSafe(F.col(key))
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(gone, same, "left_anti").select(*docs.columns)
-    marked = with_fingerprints(docs, [fp, fp2] if confirm else [fp], [shingle, confirm[0]] if confirm else [shingle], text_col)
-    marked = marked if confirm else marked.withColumn(fp2, F.lit(0).cast("long"))
-    kept = marked.join(gone, same & (F.col(fp) == F.col(gone_1)) & (F.col(fp2) == F.col(gone_2)), "left_anti")
-    return kept.dropDuplicates([id_col, fp, fp2]).select(*docs.columns)
