@@ -137,7 +137,8 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, k1, k2, component_id`` for every row of ``docs``."""
+    """``doc_id, k1, k2, component_id, stays`` for every row of ``docs``; stays: the
+    row has the smallest (id, k1, k2) of its group, where no id is the largest."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     rows = materialize(with_sets(rows, "text", ("k1", "k2"), "bands", bands), "fingerprints")
     nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.min("hash").alias("hash"), F.first("bands").alias("bands"))
@@ -146,20 +147,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = materialize(components(links).withColumnRenamed("node", "of"), "roots")
     placed = nodes.join(roots, F.col("node") == F.col("of"), "left").select("k1", "k2", "first_id", F.coalesce("root", "node").alias("root"))
     placed = materialize(placed, "placed")
-    least = materialize(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    named = materialize(placed.join(least, "root").select("k1", "k2", "component_id"), "named")
-    return rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "k1", "k2", "component_id")
+    survivor = F.min(F.struct(F.col("first_id").isNull().alias("unknown"), "first_id", "k1", "k2"))
+    least = materialize(placed.groupBy("root").agg(survivor.alias("s")), "least")
+    stays = (F.col("k1") == F.col("s.k1")) & (F.col("k2") == F.col("s.k2"))
+    named = materialize(placed.join(least, "root").select("k1", "k2", F.col("s.first_id").alias("component_id"), stays.alias("stays")), "named")
+    found = rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"])
+    return found.select("doc_id", "k1", "k2", "component_id", (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each group; columns as they came.
+    """``docs`` with one row of each group, that with the smallest id; columns as
+    they came.
 
-    Where ids repeat, rows are told apart by their shingles too; of rows that
-    share all of them one stays.
+    Where ids repeat, rows are told apart by their shingles too: the group's
+    smallest (id, shingles) stays, and of rows that share all of them one.
     """
     found = materialize(near_groups(docs, id_col, text_col), "groups")
     key, gone_1, gone_2, k1, k2, copy = (spare_name(docs, n) for n in ("drop_id", "drop_k1", "drop_k2", "own_k1", "own_k2", "own_text"))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key), F.col("k1").alias(gone_1), F.col("k2").alias(gone_2))
+    gone = found.where(~F.col("stays")).select(F.col("doc_id").alias(key), F.col("k1").alias(gone_1), F.col("k2").alias(gone_2))
     same = F.col(id_col).eqNullSafe(F.col(key))
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs.join(gone, same, "left_anti").select(*docs.columns)

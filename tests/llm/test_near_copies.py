@@ -62,3 +62,13 @@ def test_bands_miss_no_pair_at_the_limit():
         whole = near_copies.np.array([rng.getrandbits(64) for _ in range(n + n // 4)], near_copies.np.uint64)
         assert set(near_copies.bands(near_copies.np.sort(whole[:n]))) & set(near_copies.bands(near_copies.np.sort(whole)))
     assert near_copies.bands(near_copies.shingles("")) == []
+
+
+def test_one_row_of_a_group_stays_where_ids_repeat(spark):
+    """Near texts under one id, without ids, and with ids beside them."""
+    near = [" ".join([*(f"w{k}" for k in range(60)), f"x{n}"]) for n in range(4)]
+    other = [t.replace("w", "v") for t in near]
+    third = [t.replace("w", "u") for t in near]
+    rows = [(7, t) for t in near] + [(None, t) for t in other] + [(9, third[0]), (None, third[1]), (9, third[2]), (3, third[3])] + [(7, near[0]), (7, "alone")]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text.split()[0]) for r in kept) == [(0, "v0"), (3, "u0"), (7, "alone"), (7, "w0")]
