@@ -561,8 +561,8 @@ _add(
     lambda spark, d: dataset.longest(_table(spark, d, "documents"), "doc_id", F.length("text").cast("long"), F.col("doc_id")),
     "SELECT doc_id, length(text)::BIGINT AS length FROM documents ORDER BY length(text) DESC, doc_id LIMIT 1",
 )
-_add("dataset_candidates", lambda spark, d: dataset.generate(spark, 2000).drop("difficulty"), None)
-_add("dataset_faults", lambda spark, d: dataset.faults(dataset.generate(spark, 2000)), None)
+_add("dataset_candidates", lambda spark, d: dataset.generate(spark).drop("difficulty"), None)
+_add("dataset_faults", lambda spark, d: dataset.faults(dataset.generate(spark)), None)
 
 # -- programs as data ------------------------------------------------------
 
@@ -593,10 +593,10 @@ _add(
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completions of differing quality for the rows of a generated split."""
+    """Completions of differing quality for the rows of the ``grpo`` split."""
     from .operators.score import score_table
 
-    rows = dataset.generate(spark, 600)
+    rows = dataset.split(dataset.placed(dataset.generate(spark)), "grpo")
     hidden = dataset.hidden_cases(rows, "grpo")
     bad = F.when(F.col("global_index") % 6 == 1, F.lit("{")).when(F.col("global_index") % 6 == 2, F.lit('{"steps":[{"op":"python"}]}')).when(
         F.col("global_index") % 6 == 3, F.replace("reference_program", F.lit('"from": "s'), F.lit('"from": "t'))
