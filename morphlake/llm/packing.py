@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import encoder
+from .tokens import encoder, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -45,21 +45,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """``doc_id, piece, start, length, ids_crc32`` of every piece of every document."""
     with open(tokenizer_path) as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
-    end = end_id.to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(source.value).encode
+        encode = encoder(source.value).encode_all
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = zip(*out) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            for at, texts in slices(batch.column(1)):
+                ids, bounds = encode(texts, end_id)
+                n = -(-np.diff(bounds) // capacity)
+                of = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                begin = bounds[of] + piece * capacity
+                stop = np.minimum(begin + capacity, bounds[of + 1])
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), stop.tolist())]
+                owners = batch.column(0).slice(at, len(texts)).take(pa.array(of))
+                columns = [owners, pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(stop - begin), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import encoder, slices
 
 KEYS = ["source", "lang", "tokenizer"]
 _SUMS = "source string, lang string, tokenizer string, documents long, tokens long"
@@ -37,9 +37,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, id_col: str
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(source.value).encode
+        encode = encoder(source.value).encode_all
         for batch in batches:
-            tokens = np.array([len(encode(t)) // 4 for t in batch.column(3).to_pylist()], np.int64)
+            counts = [np.diff(encode(texts, 0)[1]) - 1 for _, texts in slices(batch.column(3))]
+            tokens = np.concatenate([np.zeros(0, np.int64), *counts])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tokens)], ["doc_id", "source", "lang", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))

@@ -9,16 +9,22 @@ and every chunk is known by its BLAKE2 digest.  A folder holds
 ``recipes/``   Parquet in ascending id order: ``part, idx, doc_id, n_tokens,
                before, root, chunks`` - the document's ordered digests, ``root``
                their digest, ``before`` the ids ahead of it within its part;
-``manifest/``  JSON, one row for each part: its documents, ids, and the Merkle
-               root of its documents' roots.
+``manifest/``  JSON, one row for each block of ``BLOCK`` documents of a part: its
+               documents, ids, and the Merkle root of its documents' roots.
 
-Reading verifies every chunk against its digest and every document and part
+Reading verifies every chunk against its digest and every document and block
 against its root.  Checksums of whole documents come from their chunks'
 checksums by CRC combination, so contents are read once and never shuffled;
 ``read_documents`` joins the contents themselves.
 
-Tasks send a chunk once however often it occurs in them, so a chunk of a third
-of all documents is as many rows as there are tasks.
+Tasks send a chunk once for each ``SENT`` distinct chunks however often it occurs
+in them, so a chunk of a third of all documents is about as many rows as there
+are tasks.  Equal chunks then meet in one partition, sorted, and the first of
+each is written: no state grows with the data.  Recipes are dealt evenly.
+
+A chunk stored once cannot stand in the order of every document that holds it,
+so contents lie in the order of their digests; what ascends with the ids of the
+documents are the recipes, which say in which order the ids follow each other.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 stored as rows of their own that share chunks; equal ids go by their content;
@@ -34,46 +40,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .tokens import encoder
+from .tokens import encoder, slices
 
 END_ID = 2
 ROLL = 8
 MIN_CHUNK, MASK, MAX_CHUNK = 64, 0xFF, 1024
+#: Digests that a task remembers, and bytes of contents for each partition.
+SENT, PART_BYTES = 50_000, 64 << 20
 _SCATTER, _ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Where chunks end: after an id at which the hash of the last ROLL ids has
-    its low bits clear, at least MIN_CHUNK and at most MAX_CHUNK ids on."""
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n]
+def cuts(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chunks of documents end, and how many each document has.
+
+    bounds: where each document begins in ``ids``, and the end.  A chunk ends
+    after an id at which the hash of the last ROLL ids has its low bits clear, at
+    least MIN_CHUNK and at most MAX_CHUNK ids on.  No cut is closer than
+    MIN_CHUNK to a document's begin, so hashes that reach across do not matter.
+    """
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * _SCATTER
     mixed ^= mixed >> np.uint64(29)
     rolling, weight = mixed.copy(), _ROLL
     for k in range(1, ROLL):
         rolling[k:] += mixed[:-k] * weight
         weight = np.uint64(int(weight) * int(_ROLL) & 0xFFFFFFFFFFFFFFFF)
-    ends, last = [], 0
-    for at in (np.flatnonzero((rolling >> np.uint64(40)) & np.uint64(MASK) == 0) + 1).tolist():
-        while at - last > MAX_CHUNK:
+    places = np.flatnonzero((rolling >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+    edges = np.searchsorted(places, bounds).tolist()
+    at, begins = places.tolist(), bounds.tolist()
+    ends, counts = [], []
+    for k, (last, n) in enumerate(zip(begins, begins[1:])):
+        had = len(ends)
+        for place in at[edges[k] : edges[k + 1]]:
+            while place - last > MAX_CHUNK:
+                last += MAX_CHUNK
+                ends.append(last)
+            if place - last >= MIN_CHUNK:
+                ends.append(place)
+                last = place
+        while n - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)
-        if at - last >= MIN_CHUNK:
-            ends.append(at)
-            last = at
-    while n - last > MAX_CHUNK:
-        last += MAX_CHUNK
-        ends.append(last)
-    return [*ends, n] if last < n else ends
+        if last < n:
+            ends.append(n)
+        counts.append(len(ends) - had)
+    return np.array(ends, np.int64), np.array(counts, np.int64)
 
 
-def digest(data: bytes) -> bytes:
+def digest(data: bytes | memoryview) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
@@ -121,53 +140,76 @@ def _join_crc(crc: np.ndarray, more: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 # -- writing ---------------------------------------------------------------
 
-_ROWS = "kind string, key binary, n long, ids binary, doc_id long, chunks array<binary>"
-_ROWS_ARROW = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("chunks", pa.list_(pa.binary()))])
+_ROWS = "kind string, deal long, key binary, n long, ids binary, doc_id long, chunks array<binary>"
+_ROWS_ARROW = pa.schema([("kind", pa.string()), ("deal", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("chunks", pa.list_(pa.binary()))])
 _RECIPES = "part long, idx long, doc_id long, n_tokens long, before long, root binary, chunks array<binary>"
+_SIZE = 16
+
+
+def _rows(kind: str, many: int, **columns) -> pa.RecordBatch:
+    """A batch of ``_ROWS``; columns left out are null."""
+    columns["kind"] = pa.array([kind] * many)
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(many, f.type)) for f in _ROWS_ARROW], schema=_ROWS_ARROW)
+
+
+def _pieces(data: bytes, bounds: np.ndarray) -> pa.Array:
+    """Consecutive pieces of ``data`` as binary values that share it."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _digests(keys: bytes) -> pa.Array:
+    return _pieces(keys, np.arange(0, len(keys) + 1, _SIZE))
 
 
 def _encoded(docs: DataFrame, source, end_id: int, width: int) -> DataFrame:
     """Chunk rows (key: digest) and recipe rows (key: root) of all documents."""
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sent = encoder(source.value).encode, set()
+        encode, sent, made = encoder(source.value).encode_all, set(), 0
+        task = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(encode(text) + end, "<u4")
-                data, chunks, at = ids.astype(f"<u{width}").tobytes(), [], 0
-                for stop in cut(ids):
-                    part = data[at * width : stop * width]
-                    key = digest(part)
-                    chunks.append(key)
+            for at, texts in slices(batch.column(1)):
+                ids, bounds = encode(texts, end_id)
+                if len(ids) and int(ids.max()) >> 8 * width:
+                    raise ValueError(f"ids of this vocabulary do not fit in {width} bytes")
+                data = ids.astype(f"<u{width}").tobytes()
+                view = memoryview(data)
+                ends, counts = cuts(ids, bounds)
+                begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+                keys, new = [], []
+                for k, (a, b) in enumerate(zip((begins * width).tolist(), (ends * width).tolist())):
+                    key = digest(view[a:b])
+                    keys.append(key)
                     if key not in sent:
                         sent.add(key)
-                        out.append(("chunks", key, stop - at, part, None, None))
-                        held += len(part)
-                    at = stop
-                out.append(("recipes", digest(b"".join(chunks)), len(ids), None, doc_id, chunks))
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS_ARROW)], schema=_ROWS_ARROW)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS_ARROW)], schema=_ROWS_ARROW)
+                        new.append(k)
+                if len(sent) > SENT:
+                    sent.clear()
+                joined = b"".join(keys)
+                chosen = pa.array(new, pa.int64())
+                hashes, contents = _digests(joined), _pieces(data, np.concatenate((begins, ends[-1:])) * width)
+                deal = pa.array(np.frombuffer(joined, "<i8")[::2])
+                yield _rows("chunks", len(new), deal=deal.take(chosen), key=hashes.take(chosen), n=pa.array(ends - begins).take(chosen), ids=contents.take(chosen))
+                stops = np.cumsum(counts)
+                edges = np.concatenate(([0], stops)) * _SIZE
+                roots = b"".join(digest(joined[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist()))
+                lists = pa.ListArray.from_arrays(pa.array((edges // _SIZE).astype(np.int32)), hashes)
+                yield _rows("recipes", len(texts), deal=pa.array(task.integers(-(1 << 62), 1 << 62, len(texts))), key=_digests(roots), n=pa.array(np.diff(bounds)), doc_id=batch.column(0).slice(at, len(texts)), chunks=lists)
 
     return docs.mapInArrow(run, _ROWS)
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk once; equal digests are all in one partition, whose digests
-    (16 bytes a chunk) are remembered."""
-    seen: set[bytes] = set()
+    """Each chunk once; equal digests follow each other."""
+    last = None
     for batch in batches:
-        keep = []
-        for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            keep.append(kind != "chunks" or key not in seen)
-            if kind == "chunks":
-                seen.add(key)
-        yield batch.filter(pa.array(keep))
+        if not len(batch):
+            continue
+        keys = batch.column(2).to_pylist()
+        chunk = np.array(pc.equal(batch.column(0), "chunks"))
+        other = np.fromiter((a != b for a, b in zip(keys, [last, *keys[:-1]])), bool, len(keys))
+        last = keys[-1] if chunk[-1] else None
+        yield batch.filter(pa.array(other | ~chunk))
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,32 +225,47 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx, before = idx + len(n), before + int(n.sum())
 
 
-def _part_root(table: pa.Table) -> pa.Table:
-    """The Merkle root over the documents of one part, and its totals."""
+def _block_root(table: pa.Table) -> pa.Table:
+    """The Merkle root over the documents of one block, and its totals."""
     table = table.sort_by("idx")
     level = table.column("root").to_pylist()
     while len(level) > 1:
         level = [digest(b"".join(level[k : k + 2])) for k in range(0, len(level), 2)]
     n = table.column("n_tokens").to_numpy()
-    return pa.table({"part": table.column("part").slice(0, 1), "documents": [len(n)], "ids": [int(n.sum())], "merkle_root": [level[0].hex()]})
+    return pa.table({"part": table.column("part").slice(0, 1), "block": table.column("block").slice(0, 1), "documents": [len(n)], "ids": [int(n.sum())], "merkle_root": [level[0].hex()]})
+
 
+#: Documents of a Merkle tree.
+BLOCK = 4096
+_MANIFEST = "part long, block long, documents long, ids long, merkle_root string"
 
-_MANIFEST = "part long, documents long, ids long, merkle_root string"
+
+def _parts(docs: DataFrame) -> int:
+    """Partitions of the store: by the size of the files that are read, which Spark
+    knows, or else by that of the texts."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 58:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = 2) -> None:
-    """Encode ``docs`` into a new store in ``folder``."""
+    """Encode ``docs`` into a new store in ``folder``; ids that do not fit in
+    ``width`` bytes are an error."""
     spark = docs.sparkSession
     with open(tokenizer_path) as f:
         source = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _parts(rows)
     (
         _encoded(rows, source, end_id, width)
-        .repartition(n, "key")
+        .repartition(n, "deal")
+        .sortWithinPartitions("kind", "key")
         .mapInArrow(_first_of_each, _ROWS)
         .write.option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", "1")
+        .option("parquet.enable.dictionary#ids", "false")
         .parquet(f"{folder}/all")
     )
     listed = _read(spark, f"{folder}/all", "recipes").select("doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("root"), "chunks")
@@ -222,7 +279,8 @@ def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    return recipes.select("part", "idx", "n_tokens", "root").groupBy("part").applyInArrow(_part_root, _MANIFEST)
+    rows = recipes.select("part", F.floor(F.col("idx") / BLOCK).alias("block"), "idx", "n_tokens", "root")
+    return rows.groupBy("part", "block").applyInArrow(_block_root, _MANIFEST)
 
 
 # -- reading ---------------------------------------------------------------
@@ -271,7 +329,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _starts(spark: SparkSession, folder: str) -> DataFrame:
     """Ids ahead of each part; a row for each part."""
-    manifest = spark.read.schema(_MANIFEST).json(f"{folder}/manifest")
+    manifest = spark.read.schema(_MANIFEST).json(f"{folder}/manifest").groupBy("part").agg(F.sum("ids").alias("ids"))
     ahead = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("ids")
     return manifest.select("part", ahead.alias("ahead"))
 
@@ -280,7 +338,7 @@ def read_checksums(spark: SparkSession, folder: str, width: int = 2) -> DataFram
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the store."""
     stored = spark.read.parquet(f"{folder}/recipes")
     said = spark.read.schema(_MANIFEST).json(f"{folder}/manifest")
-    wrong = _manifest(stored).join(said.withColumnRenamed("merkle_root", "said"), ["part", "documents", "ids"], "full").where(~F.col("said").eqNullSafe(F.col("merkle_root")))
+    wrong = _manifest(stored).join(said.withColumnRenamed("merkle_root", "said"), ["part", "block", "documents", "ids"], "full").where(~F.col("said").eqNullSafe(F.col("merkle_root")))
     if not wrong.isEmpty():
         raise ValueError("the recipes do not match the manifest")
     chunks = _read(spark, f"{folder}/all", "chunks").select("key", "ids").mapInArrow(_checked_chunks(width), "key binary, crc long, size long")

@@ -7,6 +7,10 @@ row.  Each segment is encoded by the library once in a worker and then looked
 up.  A text is cut only at spaces between two characters that are not white
 space, where no token of the library can reach across; tokenizers of another
 make get whole texts.
+
+``encode_all`` takes a batch of texts: Arrow cuts all of them at once and names
+each distinct segment by a number, so a segment is looked up once a batch, and
+the ids are put in place by number.
 """
 
 from __future__ import annotations
@@ -15,14 +19,18 @@ import hashlib
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from .common import held
 
 #: Entries of the caches of segments and of their pieces; the first words of a
 #: corpus are its frequent ones.
-MAX_SEGMENTS, MAX_PIECES = 500_000, 900_000
+MAX_SEGMENTS, MAX_PIECES = 300_000, 400_000
 
 #: Letters and digits up to U+024F, which have the same class in every version
 #: of Unicode in use; segments with characters beyond go to the library whole.
@@ -32,11 +40,20 @@ BYTE_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L
 WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 WORD_SPLIT_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: The same with a mark after each segment, which no piece contains.
+_MARK = "\0"
+MARKED_BYTE_SPLIT = re.compile(rf"\0|'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}\0]+|\s+(?![^\s\0])|\s+")
+MARKED_WORD_SPLIT = re.compile(rf"\0|'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}\0]+")
+
 #: White space other than the space, for which a text takes the careful cut.
 _ODD_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _CAREFUL = re.compile(r"(?<=\S) (?=\S)")
-_TIGHT = tuple(a + b for a in " \t\n\r" for b in " \t\n\r" if " " in a + b)
-_PLAIN = re.compile("[\x00-\x1b\x20-\x7f\xa1-\u024f]*\\Z")
+_UNEVEN = r" [ \t\n\r]|[\t\n\r] |[" + _ODD_SPACE + "]"
+_PLAIN = re.compile("[\x01-\x1b\x20-\x7f\xa1-\u024f]*\\Z")
+_PLAIN_LINE = re.compile("[\x00-\x1b\x20-\x7f\xa1-\u024f]*\\Z")
+
+#: Characters of text that are encoded at a time.
+SLICE_CHARS = 2 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,14 +86,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(source)
         about = json.loads(source)
         self.added = [x["content"] for x in about["added_tokens"]]
+        #: Texts that are not cut at every space.
+        self.odd = "|".join([_UNEVEN, *map(re.escape, self.added)])
         before, split = about.get("normalizer"), about.get("pre_tokenizer") or {}
         self.kind = "whole"
         if about.get("post_processor") is None and about["model"]["type"] == "BPE" and not any(" " in x for x in self.added):
             if before is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
-                self.kind, self.pattern = "byte", BYTE_SPLIT
+                self.kind, self.pattern, self.marked = "byte", BYTE_SPLIT, MARKED_BYTE_SPLIT
             elif before is not None and WORD_SPLIT_SOURCE in json.dumps(split).replace("\\\\", "\\"):
-                self.kind, self.pattern = "word", WORD_SPLIT
+                self.kind, self.pattern, self.marked = "word", WORD_SPLIT, MARKED_WORD_SPLIT
         self.pieces = _Cache(self._piece, MAX_PIECES)
+        self.pieces[_MARK] = b""
         self.rest = _Cache(self._after_space if self.kind == "byte" else self._segment, MAX_SEGMENTS)
 
     def _piece(self, piece: str) -> bytes:
@@ -84,10 +104,8 @@ class Encoder:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def _segment(self, segment: str) -> bytes:
-        if not segment:
-            return b""
         # what is split is the normalised text: lower-case forms of plain capitals may lie beyond the class
-        plain = self.tokenizer.normalizer.normalize_str(segment) if self.kind == "word" else segment
+        plain = segment if self.kind == "byte" or not _PLAIN.match(segment) else segment.lower()
         if not _PLAIN.match(plain):
             return self.library(segment)
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(plain)))
@@ -95,6 +113,34 @@ class Encoder:
     def _after_space(self, segment: str) -> bytes:
         return self._segment(" " + segment)
 
+    def _many(self, segments: list[str]) -> list[bytes]:
+        """What ``rest`` holds for many segments; plain ones are split in a row,
+        with a mark between them."""
+        line = "".join([(" " if self.kind == "byte" else "") + x + _MARK for x in segments])
+        plain = line if self.kind == "byte" else line.lower()
+        if line.count(_MARK) > len(segments) or not (_PLAIN_LINE.match(line) and _PLAIN_LINE.match(plain)):
+            if len(segments) == 1:
+                return [self.rest.make(segments[0])]
+            fit = [bool(_PLAIN.match(x) and _PLAIN.match(x.lower())) for x in segments]
+            if all(fit):
+                return [*map(self.rest.make, segments)]
+            good = iter(self._many([x for x, ok in zip(segments, fit) if ok]))
+            return [next(good) if ok else self.rest.make(x) for x, ok in zip(segments, fit)]
+        found = [*map(self.pieces.__getitem__, self.marked.findall(plain))]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        stops = np.cumsum(size)[size == 0].tolist()
+        data = b"".join(found)
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _looked_up(self, segments: list[str]) -> list[bytes]:
+        found = [*map(self.rest.get, segments)]
+        new = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(new, self._many([segments[k] for k in new])):
+            found[k] = x
+            if len(self.rest) < self.rest.most:
+                self.rest[segments[k]] = x
+        return found
+
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -103,13 +149,62 @@ class Encoder:
             return b""
         if self.kind == "whole" or any(x in text for x in self.added):
             return self.library(text)
-        if any(x in text for x in _TIGHT) or any(x in text for x in _ODD_SPACE):
+        if re.search(_UNEVEN, text):
             first, *rest = _CAREFUL.split(text)
         else:
             first, *rest = text.split(" ")
         return self._segment(first) + b"".join(map(self.rest.__getitem__, rest))
 
+    def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the id ``end``, in a row, and
+        where each text begins (one more entry than texts)."""
+        heads, tails = [], []
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), True).to_pylist()
+        for text, other in zip(texts.to_pylist(), odd):
+            if text and self.kind != "whole" and not other:
+                head, space, tail = text.partition(" ")
+                heads.append(self._segment(head))
+                tails.append(tail if space else None)
+            else:
+                heads.append(self.encode(text))
+                tails.append(None)
+        parts = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        named = parts.flatten().dictionary_encode()
+        codes = named.indices.to_numpy()
+        n_parts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy().astype(np.int64)
+        found = [*self._looked_up(named.dictionary.to_numpy(zero_copy_only=False).tolist()), *heads, end.to_bytes(4, "little")]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = np.cumsum(size) - size
+        # the pieces of text k: its head, its other segments, the end
+        n = len(heads)
+        last = np.cumsum(n_parts + 2)
+        first = last - n_parts - 2
+        order = np.empty(int(last[-1]) if n else 0, np.int64)
+        middle = np.ones(len(order), bool)
+        middle[first], middle[last - 1] = False, False
+        order[middle] = codes
+        order[first] = len(named.dictionary) + np.arange(n)
+        order[last - 1] = len(found) - 1
+        sizes = size[order]
+        stops = np.cumsum(sizes)
+        ids = flat[np.arange(int(stops[-1]) if n else 0) + np.repeat(at[order] - stops + sizes, sizes)]
+        return ids, np.concatenate(([0], stops[last - 1]))
+
 
 def encoder(source: str) -> Encoder:
     """The encoder of a vocabulary file's text; one in each Python worker."""
     return held("encoder " + hashlib.sha256(source.encode()).hexdigest(), lambda: Encoder(source))
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of a column of texts of about ``SLICE_CHARS`` bytes, or one longer
+    text, with the row that each begins at."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(sizes)
+    at = 0
+    while at < len(column):
+        before = int(total[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(total, before + SLICE_CHARS, "right")))
+        yield at, column.slice(at, stop - at)
+        at = stop
