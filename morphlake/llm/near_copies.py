@@ -1,16 +1,20 @@
-"""Near copies by the exact similarity of their five-word shingles.
+"""The pipeline's near copies: SimHash of five-word shingles, checked exactly.
 
 Two texts are linked if the Jaccard similarity of their sets of shingles is 0.8
-or more, and groups are what links connect.  Equal sets are one node.  Nodes
-that may be linked share a band: the least values of four hash orders.  A pair
-at 0.8 shares none of the 32 bands with a probability of 5e-8, a closer pair
-with less.  Bands only propose pairs; a link is counted on the two whole sets.
-
-Each node is compared with the least of all nodes that it shares a band with,
-which connects most near copies, so that a large group does not make all its
-pairs.  Then the least node of a band is compared with all others, round after
-round, where a band has nodes of more than one group; what is left after some
-rounds is compared pair by pair.
+or more, and groups are what links connect.  Equal sets are one node with a
+SimHash of ``WORDS`` words of 64 bits.  Nodes that may be linked share a key: a
+choice of fingerprint bits, of which there are ``tables``.  A bit differs at
+0.8 with a probability of 0.15, so a pair at 0.8 shares no key with less than
+``MISSED`` at any size, a closer pair with much less.  Within a key fingerprints
+are compared bit-sliced (see ``simhash``) at ``RADIUS``, more than three standard
+deviations beyond what a pair at 0.8 differs by.  Both only propose pairs: a
+link is counted on the two whole sets.
+
+Of each key every node proposes the least node within its radius, never all
+pairs, and the least of all keys is tried first, which connects most near
+copies.  Then, where proposals connect what tried pairs did not, nodes propose
+the largest of another group, and what is left after that is compared pair by
+pair.
 
 Defined results: words are as in ``simhash``; fewer words than a shingle are one
 shingle; texts without words are near copies of one another and of nothing else.
@@ -21,6 +25,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import repeat
 
+from math import ceil, log, log2
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,15 +36,20 @@ from pyspark.sql import types as T
 
 from .common import materialize, spare_name
 from .graph import components
-from .simhash import SEED, STEP
+from .simhash import SEED, STEP, by_key, close_pairs, compared, keyed
 
 #: Similarity of a link as a fraction, so that it is counted in integers.
 SHINGLE, SIMILAR = 5, (4, 5)
-BANDS, BAND_ROWS = 32, 4
-#: Rounds in which a band's least node is compared with the others.
+WORDS, RADIUS = 2, 32
+#: Tables of keys at least, bits of a key at least, nodes that share a key on
+#: average, and the share of pairs at the limit that may share none.
+TABLES, KEY_BITS, KEY_MEAN, MISSED = 64, 10, 1024, 0.01
+#: The probability that a bit is the same where the similarity is 0.8.
+SAME = 0.8485
+#: Rounds in which nodes propose one pair; after them they propose all.
 ROUNDS = 2
-# odd factors: multiplication is another order of the 32-bit hashes for each
-_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+# odd factors that make further words of a hash
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 62, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -53,23 +64,37 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64, n))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """The keys of the bands of a set of shingles, as signed 64-bit integers."""
-    if not len(found):
-        return []
-    high, least = (found >> np.uint64(32)).astype(np.uint32), np.full(len(_ORDERS), 0xFFFFFFFF, np.uint32)
-    step = STEP // len(_ORDERS)
-    for a in range(0, len(high), step):
-        np.minimum(least, (high[a : a + step, None] * _ORDERS).min(0), out=least)
-    data, width = least.tobytes(), 4 * BAND_ROWS
-    return np.array([xxhash.xxh64_intdigest(data[k * width : k * width + width], k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+def print_of(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles: a bit is set in more than half of them."""
+    n, counts = len(found), np.zeros(64 * WORDS, np.int64)
+    for a in range(0, n, STEP):
+        part = found[a : a + STEP, None] * _FACTORS
+        part ^= part >> np.uint64(32)
+        part *= _FACTORS[::-1]
+        part ^= part >> np.uint64(29)
+        counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > n, bitorder="little").view("<u8")
+
+
+def key_masks(bits: int) -> np.ndarray:
+    """Of each table the bits of its keys, as words; longer keys add bits."""
+    tables = max(TABLES, ceil(log(MISSED) / log(1 - SAME**bits)))
+    chosen = np.zeros((tables, 64 * WORDS), np.uint8)
+    for t in range(tables):
+        chosen[t, np.random.default_rng([SEED, t]).permutation(64 * WORDS)[:bits]] = 1
+    return np.packbits(chosen, axis=1, bitorder="little").view("<u8")
+
+
+def bands(found: np.ndarray) -> list[tuple[int, ...]]:
+    """The keys of a set of shingles in a small corpus."""
+    return [(t, *k) for t, k in enumerate((print_of(found) & key_masks(KEY_BITS)).tolist())] if len(found) else []
 
 
 def with_sets(docs: DataFrame, text_col: str, key: tuple[str, str], more: str | None = None, made=None) -> DataFrame:
     """``docs`` without its text and with ``key``, the 128-bit name of the text's
-    set of shingles; more: a column for what ``made`` gives for the set."""
+    set of shingles; more: a column of longs for what ``made`` gives for the set."""
     at, kept = docs.columns.index(text_col), [c for c in docs.columns if c != text_col]
-    names = [*kept, *key, *([more] if more else [])]
+    names, docs_columns = [*kept, *key, *([more] if more else [])], docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,11 +108,14 @@ def with_sets(docs: DataFrame, text_col: str, key: tuple[str, str], more: str |
                     columns.append(pa.array([made(s) for s in sets], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    docs_columns = docs.columns
     fields = [f for f in docs.schema if f.name != text_col] + [T.StructField(k, T.LongType()) for k in key]
     return docs.mapInArrow(run, T.StructType(fields + ([T.StructField(more, T.ArrayType(T.LongType()))] if more else [])))
 
 
+def _sized_print(found: np.ndarray) -> np.ndarray:
+    return np.concatenate(([len(found)], print_of(found).view(np.int64)))
+
+
 def _as_longs(found: np.ndarray) -> np.ndarray:
     return found.view(np.int64)
 
@@ -103,36 +131,80 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(long_enough & (shared * (part + whole) >= lengths * part)).select("a", "b")
 
 
+def _proposed(every: bool, largest: bool):
+    """Candidate pairs (a, b, tried) of keys: of nodes of different groups whose
+    fingerprints and sizes allow a link.  tried: to be compared; else they only
+    say what candidates connect."""
+    part, whole = SIMILAR
+
+    def found(columns: list[np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
+        node, words, size, group = columns[0], np.stack(columns[1:3], axis=1).view(np.uint64), columns[3], columns[4]
+        n = len(node)
+        best, label, pairs = np.full(n, -1 if largest else n), np.arange(n), []
+        for i, j in close_pairs(words, ends, RADIUS):
+            fits = (whole * np.minimum(size[i], size[j]) >= part * np.maximum(size[i], size[j])) & (group[i] != group[j])
+            i, j = i[fits], j[fits]
+            if every:
+                pairs.append((node[i], node[j]))
+                continue
+            (np.maximum if largest else np.minimum).at(best, j, i)
+            while len(i):
+                a, b = label[i], label[j]
+                differ = a != b
+                i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while not np.array_equal(label, shorter := label[label]):
+                    label = shorter
+        if every:
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
+            tried = np.ones(len(a), bool)
+        else:
+            has, moved = np.flatnonzero((best >= 0) & (best < n)), np.flatnonzero(label != np.arange(n))
+            a, b = np.concatenate((node[has], node[moved])), np.concatenate((node[best[has]], node[label[moved]]))
+            tried = np.arange(len(a)) < len(has)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(tried)], ["a", "b", "tried"])
+
+    return by_key(found)
+
+
+def _grouped(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``nodes`` and ``name``, the least node that links connect each with."""
+    roots = materialize(components(links).withColumnRenamed("node", "of").withColumnRenamed("root", "least"), "roots")
+    return nodes.join(roots, F.col("node") == F.col("of"), "left").withColumn(name, F.coalesce("least", "node")).drop("of", "least")
+
+
 def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b``: true links between ``nodes`` (node, k1, k2, hash, bands) that
-    connect what all true links connect.  texts: ``hash, text``."""
-    rows = nodes.select("node", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("node").alias("m"), F.max("node").alias("most")).where("m < most").select("band", "m")
-    rows = materialize(rows.join(shared, "band"), "bands")
-    first = materialize(rows.groupBy("node").agg(F.min("m").alias("m")), "first")
-    wanted = materialize(first.select("node").join(nodes.select("node", "k1", "k2", "hash"), "node"), "wanted")
-    sets = with_sets(texts.join(wanted.select("hash").distinct(), "hash", "left_semi").select("text"), "text", ("k1", "k2"), "items", _as_longs)
-    sets = materialize(sets.groupBy("k1", "k2").agg(F.first("items").alias("items")).join(wanted, ["k1", "k2"]).select("node", "items"), "sets")
-    links = materialize(_verified(first.where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")), sets), "links")
-    rows = rows.select("band", "node")
+    """``a, b``: true links between ``nodes`` (node, k1, k2, hash, size, fp, fp2) that
+    connect what all true links between candidates connect.  texts: ``hash, text``."""
+    n = nodes.count()
+    masks = key_masks(max(KEY_BITS, ceil(log2(max(1, n) / KEY_MEAN)))).view(np.int64).tolist()
+    keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(a)), F.col("fp2").bitwiseAND(F.lit(b))) for a, b in masks]
+    left = nodes.select("node", "fp", "fp2", "size", F.col("node").alias("own"))
+    links = sets = tried = None
     for k in range(ROUNDS + 1):
-        roots = materialize(components(links).withColumnRenamed("node", "of"), "roots")
-        now = rows.join(roots, F.col("node") == F.col("of"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        now = materialize(now, "placed")
-        several = now.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("band")
-        now = materialize(now.join(several, "band"), "open")
-        if now.isEmpty():
+        rows = keyed(left, keys, ("size", "own"))
+        found = materialize(compared(rows, n * len(keys), _proposed(k == ROUNDS, k % 2 == 1), "a long, b long, tried boolean").distinct(), "proposed")
+        pairs = found.where("tried").select("a", "b")
+        if k == 0 and k < ROUNDS:
+            pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if sets is None:
+            wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            wanted = materialize(wanted.join(nodes.select("node", "k1", "k2", "hash"), "node"), "wanted")
+            made = with_sets(texts.join(wanted.select("hash").distinct(), "hash", "left_semi").select("text"), "text", ("k1", "k2"), "items", _as_longs)
+            sets = materialize(made.groupBy("k1", "k2").agg(F.first("items").alias("items")).join(wanted, ["k1", "k2"]).select("node", "items"), "sets")
+        new = _verified(pairs, sets)
+        links = materialize(new if links is None else links.unionByName(new), "links")
+        if k == ROUNDS:
+            break
+        tried = materialize(pairs if tried is None else tried.unionByName(pairs), "tried")
+        # what candidates connect and true links do not is open
+        both = materialize(_grouped(_grouped(left.drop("own"), links, "own"), found.select("a", "b"), "whole"), "grouped")
+        several = both.groupBy("whole").agg(F.min("own").alias("r"), F.max("own").alias("s")).where("r < s").select("whole")
+        left = materialize(both.join(several, "whole").drop("whole"), "open")
+        n = left.count()
+        if not n:
             break
-        if k < ROUNDS:
-            least = now.groupBy("band").agg(F.min(F.struct("node", "root")).alias("m"))
-            tried = materialize(now.join(least, "band").where("node <> m.node"), "tried")
-            pairs = tried.where("root <> m.root").select(F.col("node").alias("a"), F.col("m.node").alias("b"))
-            rows = tried.select("band", "node")
-        else:
-            other = now.select("band", F.col("node").alias("b"), F.col("root").alias("other"))
-            pairs = now.join(other, "band").where("node > b and root <> other").select(F.col("node").alias("a"), "b")
-        found = materialize(_verified(materialize(pairs.distinct(), "pairs"), sets), "links")
-        links = materialize(links.unionByName(found), "links")
     return links
 
 
@@ -140,9 +212,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id, k1, k2, component_id, stays`` for every row of ``docs``; stays: the
     row has the smallest (id, k1, k2) of its group, where no id is the largest."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    rows = materialize(with_sets(rows, "text", ("k1", "k2"), "bands", bands), "fingerprints")
-    nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.min("hash").alias("hash"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = materialize(with_sets(rows, "text", ("k1", "k2"), "print", _sized_print), "fingerprints")
+    nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.min("hash").alias("hash"), F.first("print").alias("print"))
+    size, *words = (F.col("print")[k] for k in range(1 + WORDS))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "first_id", "hash", size.alias("size"), words[0].alias("fp"), words[1].alias("fp2"))
+    nodes = materialize(nodes, "nodes")
     links = near_links(nodes, docs.select(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")))
     roots = materialize(components(links).withColumnRenamed("node", "of"), "roots")
     placed = nodes.join(roots, F.col("node") == F.col("of"), "left").select("k1", "k2", "first_id", F.coalesce("root", "node").alias("root"))

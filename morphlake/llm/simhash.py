@@ -27,11 +27,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +46,7 @@ STAGE_RADIUS, CONFIRM = 8, (5, 14)
 KEY_ROWS = 4096
 #: Blocks are added until a key has this many fingerprints on average at most.
 KEY_MEAN = 256
+MOST_TABLES = 256
 #: Shingles hashed at a time, which bounds memory for very long texts.
 STEP = 1 << 16
 
@@ -82,10 +84,11 @@ def with_fingerprints(docs: DataFrame, names: list[str], shingles: list[int], te
 
 def key_masks(radius: int, n: int) -> list[int]:
     """Bit masks of the tables: any two fingerprints within the radius agree on
-    at least one mask."""
+    at least one mask.  Blocks are added until a key has few fingerprints, but no
+    more than give ``MOST_TABLES``: beyond, long keys are cut into pieces."""
     for blocks in range(radius + 1, 64):
         intact = blocks - radius
-        if n >> (64 * intact // blocks) <= KEY_MEAN or blocks >= radius + 3:
+        if n >> (64 * intact // blocks) <= KEY_MEAN or comb(blocks + 1, radius) > MOST_TABLES:
             break
     edges = [64 * k // blocks for k in range(blocks + 1)]
     parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
@@ -96,18 +99,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """``t, k, i, j, node, fp, fp2``: what is compared shares the first four."""
-    keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)))
-    rows = nodes.select("node", "fp", "fp2", F.explode(keys).alias("x")).select("x.t", "x.k", "node", "fp", "fp2")
+def keyed(nodes: DataFrame, keys: list[Column], more: tuple[str, ...] = ()) -> DataFrame:
+    """``t, k, i, j, node, fp, fp2`` and ``more``: what is compared shares the
+    first four.  keys: of each table the key of a node."""
+    tagged = F.array(*(F.struct(F.lit(t).alias("t"), k.alias("k")) for t, k in enumerate(keys)))
+    kept = ["node", "fp", "fp2", *more]
+    rows = nodes.select(*kept, F.explode(tagged).alias("x")).select("x.t", "x.k", *kept)
     hot = materialize(rows.groupBy("t", "k").count().where(F.col("count") > KEY_ROWS).select("t", "k", F.ceil(F.col("count") / KEY_ROWS).cast("int").alias("p")), "hot_keys")
     if hot.isEmpty():
-        return rows.select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "fp", "fp2")
+        return rows.select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), *kept)
     mine = F.pmod(F.xxhash64("node"), F.coalesce("p", F.lit(1))).cast("int")
     return (
         rows.join(hot, ["t", "k"], "left")
-        .select("t", "k", "node", "fp", "fp2", mine.alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("p", F.lit(1)) - 1)).alias("b"))
-        .select("t", "k", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "node", "fp", "fp2")
+        .select("t", "k", *kept, mine.alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("p", F.lit(1)) - 1)).alias("b"))
+        .select("t", "k", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), *kept)
     )
 
 
@@ -121,11 +126,13 @@ def _low_ones(n: np.ndarray) -> np.ndarray:
 
 def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j), i < j < ends[i], of fingerprints within the radius, a slice
-    of the queries at a time."""
+    of the queries at a time.  Fingerprints are words, or rows of words."""
     n = len(fps)
-    bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    prints = np.ascontiguousarray(fps.reshape(n, -1))
+    n_bits = 64 * prints.shape[1]
+    bits = np.unpackbits(prints.view(np.uint8).reshape(n, n_bits // 8), axis=1, bitorder="little")
     words = -(-n // 64)
-    padded = np.zeros((64, words * 64), np.uint8)
+    padded = np.zeros((n_bits, words * 64), np.uint8)
     padded[:, :n] = bits.T
     planes = np.packbits(padded, axis=1, bitorder="little").view("<u8")
     n_counters = radius.bit_length()
@@ -141,8 +148,8 @@ def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tupl
             valid = _low_ones(ends[q] - w * 64) & ~_low_ones(np.maximum(q + 1 - w * 64, 0))
             over = ~valid
             counters = [np.full(len(q), full if spare >> c & 1 else np.uint64(0)) for c in range(n_counters)]
-            for p in range(64):
-                carry = planes[p][w] ^ (np.uint64(0) - (fps[q] >> np.uint64(p) & np.uint64(1)))
+            for p in range(n_bits):
+                carry = planes[p][w] ^ (np.uint64(0) - (prints[q, p // 64] >> np.uint64(p % 64) & np.uint64(1)))
                 for c in range(n_counters):
                     counters[c], carry = counters[c] ^ carry, counters[c] & carry
                 over |= carry
@@ -180,14 +187,15 @@ def spanning(fps: np.ndarray, ends: np.ndarray, radius: int, second: np.ndarray,
     return rows, label[rows]
 
 
-def _compare(radius: int, second_radius: int):
-    def found(columns: list[np.ndarray]) -> pa.RecordBatch:
-        node, fps, second = columns[4], columns[5].view(np.uint64), columns[6].view(np.uint64)
+def by_key(found):
+    """Applies ``found`` to the columns of whole keys: the first four columns say
+    which key a row has, and rows of a key follow each other.  ``found`` also
+    gets where each row's key ends."""
+
+    def of(columns: list[np.ndarray]) -> pa.RecordBatch:
         new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)) + 1
-        edges = np.concatenate((new, [len(fps)]))
-        ends = np.repeat(edges, np.diff(np.concatenate(([0], edges))))
-        a, b = spanning(fps, ends, radius, second, second_radius)
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        edges = np.concatenate((new, [len(columns[0])]))
+        return found(columns[4:], np.repeat(edges, np.diff(np.concatenate(([0], edges)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -202,18 +210,39 @@ def _compare(radius: int, second_radius: int):
             cut = int(other[-1]) + 1 if len(other) else 0
             held = [c[cut:] for c in columns]
             if cut:
-                yield found([c[:cut] for c in columns])
+                yield of([c[:cut] for c in columns])
         if held is not None:
-            yield found(held)
+            yield of(held)
 
     return run
 
 
+def _compare(radius: int, second_radius: int):
+    def found(columns: list[np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
+        node, fps, second = columns[0], columns[1].view(np.uint64), columns[2].view(np.uint64)
+        a, b = spanning(fps, ends, radius, second, second_radius)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    return by_key(found)
+
+
+#: Rows that a task compares, on average at most.
+TASK_ROWS = 2_000_000
+
+
+def compared(rows: DataFrame, n_rows: int, run, schema: str) -> DataFrame:
+    """``run`` over ``keyed`` rows, brought together by key, in the nodes' order."""
+    key = ["t", "k", "i", "j"]
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // TASK_ROWS)
+    return rows.repartition(n, *key).sortWithinPartitions(*key, "node").mapInArrow(run, schema)
+
+
 def fingerprint_links(nodes: DataFrame, radius: int, second_radius: int = 64) -> DataFrame:
     """``a, b``: links between nodes that connect what the true links connect."""
-    rows = keyed(nodes, key_masks(radius, nodes.count()))
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(_compare(radius, second_radius), "a long, b long")
+    n = nodes.count()
+    masks = key_masks(radius, n)
+    rows = keyed(nodes, [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])
+    return compared(rows, n * len(masks), _compare(radius, second_radius), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, confirm: tuple[int, int] | None = None) -> DataFrame:
