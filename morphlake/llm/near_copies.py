@@ -11,10 +11,10 @@ deviations beyond what a pair at 0.8 differs by.  Both only propose pairs: a
 link is counted on the two whole sets.
 
 Of each key every node proposes the least node within its radius, never all
-pairs, and the least of all keys is tried first, which connects most near
-copies.  Then, where proposals connect what tried pairs did not, nodes propose
-the largest of another group, and what is left after that is compared pair by
-pair.
+pairs, and the least of all keys is tried, which connects most near copies.
+Where proposals connect what tried pairs did not, the whole sets of what they
+connect are compared in pieces of ``PIECE``, and each piece gives a spanning
+forest of its links.
 
 Defined results: words are as in ``simhash``; fewer words than a shingle are one
 shingle; texts without words are near copies of one another and of nothing else.
@@ -36,18 +36,20 @@ from pyspark.sql import types as T
 
 from .common import materialize, spare_name
 from .graph import components
-from .simhash import SEED, STEP, by_key, close_pairs, compared, keyed
+from .simhash import SEED, STEP, by_key, close_pairs, compared, join_labels, keyed
 
 #: Similarity of a link as a fraction, so that it is counted in integers.
 SHINGLE, SIMILAR = 5, (4, 5)
 WORDS, RADIUS = 2, 32
 #: Tables of keys at least, bits of a key at least, nodes that share a key on
 #: average, and the share of pairs at the limit that may share none.
-TABLES, KEY_BITS, KEY_MEAN, MISSED = 64, 10, 1024, 0.01
+TABLES, KEY_BITS, KEY_MEAN, MISSED = 96, 10, 1024, 0.01
 #: The probability that a bit is the same where the similarity is 0.8.
 SAME = 0.8485
-#: Rounds in which nodes propose one pair; after them they propose all.
-ROUNDS = 2
+#: Rounds in which nodes propose one pair before whole sets are compared.
+ROUNDS = 1
+#: Sets of a piece, and shingles that are counted at a time.
+PIECE, STRIPE = 1024, 2048
 # odd factors that make further words of a hash
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 62, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -131,40 +133,47 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(long_enough & (shared * (part + whole) >= lengths * part)).select("a", "b")
 
 
-def _proposed(every: bool, largest: bool):
-    """Candidate pairs (a, b, tried) of keys: of nodes of different groups whose
-    fingerprints and sizes allow a link.  tried: to be compared; else they only
-    say what candidates connect."""
+def _proposed(columns: list[np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
+    """Candidate pairs (a, b, tried) of keys, whose fingerprints and sizes allow a
+    link.  tried: with the least node; else they say what candidates connect."""
     part, whole = SIMILAR
-
-    def found(columns: list[np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
-        node, words, size, group = columns[0], np.stack(columns[1:3], axis=1).view(np.uint64), columns[3], columns[4]
-        n = len(node)
-        best, label, pairs = np.full(n, -1 if largest else n), np.arange(n), []
-        for i, j in close_pairs(words, ends, RADIUS):
-            fits = (whole * np.minimum(size[i], size[j]) >= part * np.maximum(size[i], size[j])) & (group[i] != group[j])
-            i, j = i[fits], j[fits]
-            if every:
-                pairs.append((node[i], node[j]))
-                continue
-            (np.maximum if largest else np.minimum).at(best, j, i)
-            while len(i):
-                a, b = label[i], label[j]
-                differ = a != b
-                i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-                while not np.array_equal(label, shorter := label[label]):
-                    label = shorter
-        if every:
-            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
-            tried = np.ones(len(a), bool)
-        else:
-            has, moved = np.flatnonzero((best >= 0) & (best < n)), np.flatnonzero(label != np.arange(n))
-            a, b = np.concatenate((node[has], node[moved])), np.concatenate((node[best[has]], node[label[moved]]))
-            tried = np.arange(len(a)) < len(has)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(tried)], ["a", "b", "tried"])
-
-    return by_key(found)
+    node, words, size = columns[0], np.stack(columns[1:3], axis=1).view(np.uint64), columns[3]
+    n = len(node)
+    least, label = np.full(n, n), np.arange(n)
+    for i, j in close_pairs(words, ends, RADIUS):
+        fits = whole * np.minimum(size[i], size[j]) >= part * np.maximum(size[i], size[j])
+        i, j = i[fits], j[fits]
+        np.minimum.at(least, j, i)
+        join_labels(label, i, j)
+    has, moved = np.flatnonzero(least < n), np.flatnonzero(label != np.arange(n))
+    a, b = np.concatenate((node[has], node[moved])), np.concatenate((node[least[has]], node[label[moved]]))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) < len(has))], ["a", "b", "tried"])
+
+
+def _forest(table: pa.Table) -> pa.Table:
+    """A spanning forest of the links between the sets of a piece: how many
+    shingles any two share is a product of 0-1 matrices, a stripe at a time."""
+    part, whole = SIMILAR
+    node, items = table.column("node").to_numpy(), table.column("items").combine_chunks()
+    lengths = np.diff(items.offsets.to_numpy())
+    n, row = len(node), np.repeat(np.arange(len(node)), lengths)
+    _, column, counts = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    several = counts > 1
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    for a in range(0, int(several.sum()), STRIPE):
+        first, last = np.searchsorted(column, (a, a + STRIPE))
+        stripe = np.zeros((n, STRIPE), np.float32)
+        stripe[row[first:last], column[first:last] - a] = 1
+        shared += stripe @ stripe.T
+    label = np.arange(n)
+    for k in range(n):
+        alike = np.flatnonzero((shared[k] > 0) & (shared[k].astype(np.int64) * (part + whole) >= (lengths + lengths[k]) * part))
+        join_labels(label, alike, np.full(len(alike), k))
+    moved = np.flatnonzero(label != np.arange(n))
+    return pa.table({"a": node[moved], "b": node[label[moved]]})
 
 
 def _grouped(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -174,38 +183,28 @@ def _grouped(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
 
 
 def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b``: true links between ``nodes`` (node, k1, k2, hash, size, fp, fp2) that
-    connect what all true links between candidates connect.  texts: ``hash, text``."""
+    """``a, b``: pairs of ``nodes`` (node, k1, k2, hash, size, fp, fp2) that connect
+    what true links between candidates connect.  texts: ``hash, text``."""
     n = nodes.count()
     masks = key_masks(max(KEY_BITS, ceil(log2(max(1, n) / KEY_MEAN)))).view(np.int64).tolist()
     keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(a)), F.col("fp2").bitwiseAND(F.lit(b))) for a, b in masks]
-    left = nodes.select("node", "fp", "fp2", "size", F.col("node").alias("own"))
-    links = sets = tried = None
-    for k in range(ROUNDS + 1):
-        rows = keyed(left, keys, ("size", "own"))
-        found = materialize(compared(rows, n * len(keys), _proposed(k == ROUNDS, k % 2 == 1), "a long, b long, tried boolean").distinct(), "proposed")
-        pairs = found.where("tried").select("a", "b")
-        if k == 0 and k < ROUNDS:
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if sets is None:
-            wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            wanted = materialize(wanted.join(nodes.select("node", "k1", "k2", "hash"), "node"), "wanted")
-            made = with_sets(texts.join(wanted.select("hash").distinct(), "hash", "left_semi").select("text"), "text", ("k1", "k2"), "items", _as_longs)
-            sets = materialize(made.groupBy("k1", "k2").agg(F.first("items").alias("items")).join(wanted, ["k1", "k2"]).select("node", "items"), "sets")
-        new = _verified(pairs, sets)
-        links = materialize(new if links is None else links.unionByName(new), "links")
-        if k == ROUNDS:
-            break
-        tried = materialize(pairs if tried is None else tried.unionByName(pairs), "tried")
-        # what candidates connect and true links do not is open
-        both = materialize(_grouped(_grouped(left.drop("own"), links, "own"), found.select("a", "b"), "whole"), "grouped")
-        several = both.groupBy("whole").agg(F.min("own").alias("r"), F.max("own").alias("s")).where("r < s").select("whole")
-        left = materialize(both.join(several, "whole").drop("whole"), "open")
-        n = left.count()
-        if not n:
-            break
-    return links
+    rows = keyed(nodes, keys, ("size",))
+    found = materialize(compared(rows, n * len(keys), by_key(_proposed), "a long, b long, tried boolean").distinct(), "proposed")
+    first = materialize(found.where("tried").groupBy("a").agg(F.min("b").alias("b")), "first")
+    wanted = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k1", "k2", "hash"), "node"), "wanted")
+    made = with_sets(texts.join(wanted.select("hash").distinct(), "hash", "left_semi").select("text"), "text", ("k1", "k2"), "items", _as_longs)
+    sets = materialize(made.groupBy("k1", "k2").agg(F.first("items").alias("items")).join(wanted, ["k1", "k2"]).select("node", "items"), "sets")
+    links = materialize(_verified(first if ROUNDS else first.limit(0), sets), "links")
+    # what candidates connect and true links do not is open
+    groups = _grouped(_grouped(wanted.select("node"), links, "own"), found.select("a", "b"), "whole")
+    groups = materialize(groups, "groups")
+    several = groups.groupBy("whole").agg(F.min("own").alias("r"), F.max("own").alias("s"), F.count(F.lit(1)).alias("n")).where("r < s")
+    several = materialize(several.select("whole", F.ceil(F.col("n") / PIECE).cast("int").alias("p")), "several")
+    mine = F.pmod(F.xxhash64("node"), F.col("p")).cast("int")
+    pieces = groups.join(several, "whole").select("whole", "node", mine.alias("x"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("y"))
+    pieces = materialize(pieces.select("whole", "node", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")), "open")
+    forest = pieces.join(sets, "node").groupBy("whole", "i", "j").applyInArrow(lambda t: _forest(t), "a long, b long")
+    return materialize(links.unionByName(forest), "links")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -166,6 +166,19 @@ def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tupl
                 yield q[at], w[at] * 64 + lane
 
 
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give what the pairs (i, j) connect the least of its labels."""
+    while True:
+        a, b = label[i], label[j]
+        differ = a != b
+        if not differ.any():
+            return
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, shorter := label[label]):
+            label[:] = shorter
+
+
 def spanning(fps: np.ndarray, ends: np.ndarray, radius: int, second: np.ndarray, second_radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest with the components of the links: (row, its root).  A link is
     within the radius in the first and in the second fingerprint."""
@@ -174,15 +187,7 @@ def spanning(fps: np.ndarray, ends: np.ndarray, radius: int, second: np.ndarray,
         if second_radius < 64:
             confirmed = np.bitwise_count(second[i] ^ second[j]) <= second_radius
             i, j = i[confirmed], j[confirmed]
-        while True:
-            a, b = label[i], label[j]
-            differ = a != b
-            if not differ.any():
-                break
-            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(label, shorter := label[label]):
-                label = shorter
+        join_labels(label, i, j)
     rows = np.flatnonzero(label != np.arange(len(fps)))
     return rows, label[rows]
 
