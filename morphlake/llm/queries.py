@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import materialize, new_path, table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_groups
 from .langid import identify
 from .packing import pack_documents
-from .rollup import Rollup, count_tokens, inserts
+from .rollup import Rollup, count_tokens, deletes, inserts, revisions
 from .secrets import digest_columns, scan
 from .simhash import near_groups
 from .token_store import store_round_trip
@@ -47,15 +47,31 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), spans=False).drop("spans")
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    texts = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.withColumn("spans", F.array_join(texts, ","))
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document inserted in one batch, which is then replayed."""
+    """A first batch holds an old state: some documents under another language,
+    some with an older count, some twice.  Later batches move, revise and delete;
+    every batch is committed and then replayed, and some are folded together."""
+    counted = materialize(count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k"), "counted")
+    moved, revised, twice = (F.coalesce(F.pmod("doc_id", F.lit(n)) == k, F.lit(False)) for n, k in ((7, 1), (5, 2), (11, 3)))
+    old = F.when(revised, F.col("tokens") + 3).otherwise(F.col("tokens"))
+    before = counted.withColumn("old_tokens", old).withColumn("lang", F.when(moved, F.lit("unsorted")).otherwise(F.col("lang")))
+    batches = {
+        "load": inserts(before.withColumn("tokens", F.col("old_tokens"))).unionByName(inserts(counted.where(twice))),
+        "revise": revisions(before.where(revised)),
+        "move": deletes(before.where(moved)).unionByName(inserts(counted.where(moved))),
+        "withdraw": deletes(counted.where(twice)),
+    }
     rollup = Rollup(spark, new_path(spark, "rollup"))
-    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k")
-    for _ in range(2):
-        rollup.commit("documents", inserts(counted))
+    for name, changes in batches.items():
+        for _ in range(2):
+            rollup.commit(name, changes)
+    rollup.compact(["load", "revise"])
+    rollup.commit("revise", batches["revise"])
     return rollup.totals()
 
 

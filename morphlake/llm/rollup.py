@@ -2,10 +2,15 @@
 
 Totals are never recounted: a batch of inserts, deletes and revised counts is
 reduced to signed sums and added.  A batch is committed once: its sums are
-written to a folder of their own, and then a marker named after the batch is
-created, which fails if it exists.  Only sums that a marker points to count, so
-replayed batches change nothing and files of failed attempts are ignored.
-``compact`` folds committed batches into one.
+written to a folder of their own, then a marker is written whole beside its
+place and renamed to the name of the batch, which fails if that exists.  Only
+sums that a marker points to count, so replayed batches change nothing, files of
+failed attempts are ignored, and a driver that dies at any moment leaves a batch
+committed or not.  A marker that cannot be read counts as none and is replaced.
+``compact`` folds committed batches into one; it claims each batch in the same
+way first, so of several compactors one alone folds it.  The rename must not
+overwrite, which file systems like HDFS decide at once; a store without that
+needs one driver at a time.
 
 Defined results: null sources, languages and counts (0) are kept as keys and
 values; a null or empty text has 0 tokens; every row counts, repeated ones too;
@@ -69,11 +74,30 @@ class Rollup:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _marker(self, batch: str):
-        return self._path(f"{self.folder}/commits/{quote(batch, safe='')}.json")
+    def _marker(self, batch: str, kind: str = "commits"):
+        return self._path(f"{self.folder}/{kind}/{quote(batch, safe='')}.json")
+
+    def _placed(self, place, content: dict) -> bool:
+        """Put a marker in its place; False if one is there."""
+        jvm = self.spark._jvm
+        aside = self._path(f"{self.folder}/aside/{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        self._fs.mkdirs(place.getParent())
+        never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, place, never)
+        except Exception:
+            if self._fs.exists(place):
+                self._fs.delete(aside, False)
+                return False
+            raise
+        return True
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._marker(batch))
+        return quote(batch, safe="") in self._markers()
 
     def commit(self, batch: str, changes: DataFrame, replaces: list[str] | None = None) -> bool:
         """Add ``changes`` (KEYS, documents, tokens) under the name ``batch``;
@@ -83,23 +107,31 @@ class Rollup:
         name = uuid.uuid4().hex
         sums = changes.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         sums.write.parquet(f"{self.folder}/sums/{name}")
-        try:
-            out = self._fs.create(self._marker(batch), False)
-        except Exception:
-            if self.committed(batch):  # another driver was first
-                return False
-            raise
-        out.write(bytearray(json.dumps({"sums": name, "replaces": replaces or []}).encode()))
-        out.close()
-        return True
+        content = {"batch": batch, "sums": name, "replaces": replaces or []}
+        if self._placed(self._marker(batch), content):
+            return True
+        if self.committed(batch):  # another driver was first
+            return False
+        self._fs.delete(self._marker(batch), False)  # half a marker of an older kind
+        return self._placed(self._marker(batch), content)
 
-    def _entries(self) -> dict[str, dict]:
-        """Sums by batch, without batches that a later one has folded in."""
+    def _markers(self) -> dict[str, dict]:
+        """What readable markers say, by batch."""
         commits = self._path(f"{self.folder}/commits")
         if not self._fs.exists(commits):
             return {}
-        rows = self.spark.read.text(f"{self.folder}/commits", wholetext=True).select("value", F.input_file_name().alias("file")).collect()
-        found = {r["file"].rpartition("/")[2].removesuffix(".json"): json.loads(r["value"]) for r in rows}
+        found = {}
+        for r in self.spark.read.text(f"{self.folder}/commits", wholetext=True).collect():
+            try:
+                said = json.loads(r["value"])
+            except ValueError:
+                continue
+            found[quote(said["batch"], safe="")] = said
+        return found
+
+    def _entries(self) -> dict[str, dict]:
+        """Sums by batch, without batches that a later one has folded in."""
+        found = self._markers()
         gone = {quote(b, safe="") for x in found.values() for b in x["replaces"]}
         return {b: x for b, x in found.items() if b not in gone}
 
@@ -112,7 +144,8 @@ class Rollup:
     def compact(self, batches: list[str]) -> None:
         """Fold committed batches into one; they stay committed."""
         entries = self._entries()
-        live = [b for b in batches if quote(b, safe="") in entries]
+        name = f"compacted-{uuid.uuid4().hex}"
+        live = [b for b in batches if quote(b, safe="") in entries and self._placed(self._marker(b, "claims"), {"by": name})]
         if live:
             paths = [f"{self.folder}/sums/{entries[quote(b, safe='')]['sums']}" for b in live]
-            self.commit(f"compacted-{uuid.uuid4().hex}", self.spark.read.schema(_SUMS).parquet(*paths), live)
+            self.commit(name, self.spark.read.schema(_SUMS).parquet(*paths), live)

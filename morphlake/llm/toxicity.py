@@ -5,8 +5,10 @@ label tokens in part: every token of a clean document is clean, and at least
 one token of a toxic document is toxic.  Training maximises the likelihood of
 just that: the probability that all tags are clean, or that not all are, both
 read off the forward pass; forward-backward marginals give the gradient.  The
-document's score is the probability that it has a toxic token, and runs of
-tokens with a marginal of a half or more are the offending spans.
+document's score is the probability that it has a toxic token (what the
+marginals of its tokens, each given that none before is toxic, add up to), and
+runs of tokens with a marginal of a half or more are the offending spans; a
+toxic document without such a token has its likeliest one.
 
 The model is fitted on the driver on a bounded sample of labelled rows:
 ``MAX_TOXIC`` and ``MAX_CLEAN`` documents, lowest hash of the id first, of at
@@ -213,25 +215,37 @@ class _Scorer:
         starts = np.cumsum(lengths) - lengths
         flat = np.concatenate(factors) if factors else np.zeros(0)
         scores = -np.expm1(-forward(flat, starts, lengths, self.model.moves))
-        return scores, [self._spans(t, f) if spans and s >= THRESHOLD else [] for t, f, s in zip(texts, factors, scores)]
-
-    def _spans(self, text: str, factor: np.ndarray) -> list[dict[str, int]]:
-        """Offsets in the lower-cased text, which are the text's own unless
-        lower-casing changes its length; then words are found in the text."""
-        starts, lengths = np.zeros(1, np.int64), np.array([len(factor)])
-        _, before = forward(factor, starts, lengths, self.model.moves, keep=True)
-        both = before * backward(factor, starts, lengths, self.model.moves)
-        toxic = both / (1 + both) >= THRESHOLD
-        lower = text.lower()
-        source = lower if len(lower) == len(text) else text
-        words = list(WORD.finditer(source))
-        out: list[dict[str, int]] = []
-        for k in np.flatnonzero(toxic[: len(words)]).tolist():
-            if out and k and toxic[k - 1]:
-                out[-1]["end"] = words[k].end()
-            else:
-                out.append({"start": words[k].start(), "end": words[k].end()})
-        return out
+        found: list[list[dict[str, int]]] = [[] for _ in texts]
+        chosen = np.flatnonzero((scores >= THRESHOLD) & (lengths > 0)) if spans else []
+        if len(chosen):
+            for k, marginals in zip(chosen.tolist(), self._marginals([factors[k] for k in chosen])):
+                found[k] = _spans(texts[k], marginals)
+        return scores, found
+
+    def _marginals(self, factors: list[np.ndarray]) -> list[np.ndarray]:
+        """The probability that each token is toxic, by forward and backward passes."""
+        lengths = np.array([len(f) for f in factors], np.int64)
+        stops, flat = np.cumsum(lengths), np.concatenate(factors)
+        _, before = forward(flat, stops - lengths, lengths, self.model.moves, keep=True)
+        both = before * backward(flat, stops - lengths, lengths, self.model.moves)
+        return np.split(both / (1 + both), stops[:-1])
+
+
+def _spans(text: str, marginals: np.ndarray) -> list[dict[str, int]]:
+    """Runs of tokens with a marginal of THRESHOLD or more; where a text is toxic
+    by many tokens of less, the likeliest.  Offsets are those of the lower-cased
+    text, which are the text's own unless lower-casing changes its length; then
+    words are found in the text."""
+    lower = text.lower()
+    words = list(WORD.finditer(lower if len(lower) == len(text) else text))
+    toxic = marginals >= min(THRESHOLD, marginals.max())
+    out: list[dict[str, int]] = []
+    for k in np.flatnonzero(toxic[: len(words)]).tolist():
+        if out and k and toxic[k - 1]:
+            out[-1]["end"] = words[k].end()
+        else:
+            out.append({"start": words[k].start(), "end": words[k].end()})
+    return out
 
 
 VERDICT = T.StructType(
