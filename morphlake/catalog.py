@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scored_queries
 from .operators import compare, dataset, dynamic, metrics, report
 from .operators.patterns import PATTERNS
 from .operators.transform import transform
@@ -606,3 +607,11 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("score_classes", _scored, None)
+
+for _name, _query in scored_queries.QUERIES.items():
+    _add(_name, _query, scored_queries.ORACLE_SQL.get(_name))
+_add(
+    "dataset_columns",
+    scored_queries.QUERIES["dataset_columns"],
+    f"SELECT *, 's' || lpad(global_index::VARCHAR, 5, '0') || '_' AS path_prefix, 42000000 + global_index AS seed FROM ({_PATTERN_SQL})",
+)

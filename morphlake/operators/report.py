@@ -24,6 +24,11 @@ def failure_report(counts: DataFrame, metrics: DataFrame, runs: list[str], split
     return joined.withColumn("rate", F.col("count") / F.col("samples")).orderBy(place("run", runs), place("split", splits), F.desc("count"), "failure_type")
 
 
+def peaks(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """The largest value of a column over all of a run's files, such as memory."""
+    return df.groupBy(*keys).agg(F.max(column).alias("peak"))
+
+
 def summed(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Histograms added up over what is not in ``keys``."""
     return counts.groupBy(*keys).agg(F.sum("count").alias("count"))
