@@ -35,7 +35,8 @@ from .common import held, materialize, spare_name
 WINDOW = 13
 #: A document is contaminated if it has hits and at least one word in SHARE is hit.
 SHARE = 20
-MAX_ITEMS_BYTES = 64 << 20
+#: An automaton takes about 0.6 MB for each KB of items (measured, 13-word windows).
+MAX_ITEMS_BYTES = 1 << 19
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)

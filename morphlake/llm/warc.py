@@ -14,6 +14,9 @@ Writing puts one archive for each task into a folder that all executors share;
 a manifest row names each finished archive, so files of lost or repeated tasks
 are ignored.  Records are gzip members of their own by default.
 
+A file that is damaged or cut short anywhere along its chain is an error that
+names it, never a shorter result.
+
 Defined results: a null payload is empty; payloads under ``MIN_REVISIT`` bytes
 are always responses; of equal payloads the smallest id is the response and
 rows that repeat that id are responses too; a null id is larger than any other;
@@ -211,8 +214,9 @@ class _Window:
         at = self.start + len(self.data)
         if at >= self.size:
             return False
-        self.data += self.source.read_at(min(self.size - at, max(1 << 16, len(self.data) // 4)), at)
-        return True
+        found = self.source.read_at(min(self.size - at, max(1 << 16, len(self.data) // 4)), at)
+        self.data += found
+        return bool(found)
 
     def record(self, at: int, codec: str) -> tuple[bytes, int] | None:
         """The record that begins at file offset ``at`` and its successor's
@@ -243,7 +247,8 @@ class _Window:
         if self.start + end > self.size:
             return None
         while len(self.data) < end:
-            self.more()
+            if not self.more():
+                return None
         return (self.data[k : end - 4], self.start + end) if self.data[end - 4 : end] == b"\r\n\r\n" else None
 
 
@@ -305,6 +310,19 @@ def chain_entries(links: DataFrame, most_ranges: int) -> DataFrame:
     return reached
 
 
+def _require_whole(manifest: DataFrame, links: DataFrame, entries: DataFrame) -> None:
+    """Raise unless the chain of every file begins at its start and, from each
+    entry, leads to another record or to the file's end."""
+    begun = entries.where("offset = 0").select("file")
+    lost = manifest.where("bytes > 0").select("file", "bytes").join(begun, "file", "left_anti").select("file", F.lit(0).cast("long").alias("at"))
+    exits = entries.join(links.select("file", "offset", "exit"), ["file", "offset"]).join(manifest.select("file", "bytes"), "file")
+    records = links.select("file", F.col("offset").alias("exit"))
+    torn = exits.where(F.col("exit") != F.col("bytes")).join(records, ["file", "exit"], "left_anti").select("file", F.col("exit").alias("at"))
+    broken = lost.unionByName(torn).limit(1).collect()
+    if broken:
+        raise ValueError(f"{broken[0]['file']}: no whole record at byte {broken[0]['at']}")
+
+
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
     """The records (``RECORD``) of the archives that ``manifest`` (file, bytes) names."""
     schema = T.StructType([f for f in RECORD if payloads or f.name != "payload"])
@@ -313,7 +331,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
     tasks = max(1, ranges.count())
     links = materialize(candidate_links(ranges.repartition(tasks, "file", "range"), split_bytes), "links")
     most = ranges.agg(F.max("range")).first()[0] or 0
-    entries = chain_entries(links, most + 1).withColumn("range", F.floor(F.col("offset") / split_bytes)).join(manifest.select("file", "bytes"), "file")
+    entries = materialize(chain_entries(links, most + 1), "entries")
+    _require_whole(manifest, links, entries)
+    entries = entries.withColumn("range", F.floor(F.col("offset") / split_bytes)).join(manifest.select("file", "bytes"), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +342,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
                 with _open(file) as source:
                     window = _Window(source, size, at, min(size, end))
                     while at < min(end, size):
-                        data, after = window.record(at, codec)
+                        if (found := window.record(at, codec)) is None:
+                            raise ValueError(f"{file}: no whole record at byte {at}")
+                        data, after = found
                         row = {"file": file, "offset": at, **parse_record(data)}
                         rows.append(row if payloads else {k: v for k, v in row.items() if k != "payload"})
                         held, at = held + len(data), after
