@@ -9,9 +9,10 @@ half the logarithm of the words for each further language; the best set is
 kept, and the prediction is its largest member.
 
 The models are learned on the driver from a bounded sample of the labelled rows
-that are not held out: of each of the ``MAX_LANGUAGES`` most frequent languages
-about ``SAMPLE_ROWS`` documents, drawn by the hash of the id, of at most
-``MAX_SAMPLE_CHARS`` characters.
+that are not held out: of every language about ``SAMPLE_ROWS`` documents (fewer
+where all languages together would take more than ``MAX_ROWS``), drawn by the
+hash of the id, of at most ``MAX_SAMPLE_CHARS`` characters, or of any length
+where a language has no shorter ones.
 
 Defined results: a null text and a text without letters are ``und`` with score
 0; ties go to the first language by name; rows with a null language teach
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import held
 from .toxicity import held_out
 
-SAMPLE_ROWS, MAX_LANGUAGES, MAX_SAMPLE_CHARS = 1000, 200, 20_000
+SAMPLE_ROWS, MAX_ROWS, MAX_SAMPLE_CHARS = 1000, 20_000, 20_000
 ROUNDS = 12
 MAX_CACHED = 300_000
 #: Word-language likelihoods held at a time.
@@ -211,17 +212,18 @@ class _Predictor:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """The models learned from a sample of the rows that are not held out."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("name"), F.col(text_col).alias("body")).where(
-        ~held_out(F.col("id")) & F.col("name").isNotNull() & (F.length("body") <= MAX_SAMPLE_CHARS)
-    )
-    counts = rows.groupBy("name").count().orderBy(F.desc("count"), "name").limit(MAX_LANGUAGES).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("name"), F.col(text_col).alias("body")).where(~held_out(F.col("id")) & F.col("name").isNotNull() & F.col("body").isNotNull())
+    short = F.length("body") <= MAX_SAMPLE_CHARS
+    counts = rows.groupBy("name").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("all")).collect()
     if not counts:
         return Languages([], {})
+    most = max(1, min(SAMPLE_ROWS, MAX_ROWS // len(counts)))
     # a share of each language by the hash of the id; a sixth more is drawn to allow for chance
-    shares = {r["name"]: min(1.0, 1.16 * SAMPLE_ROWS / r["count"]) for r in counts}
+    shares = {r["name"]: min(1.0, 1.16 * most / (r["short"] or r["all"])) for r in counts}
     share = F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("name"))
     drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003
-    sample = rows.where(F.col("name").isin(list(shares)) & drawn).select("name", "body").collect()
+    long_only = [r["name"] for r in counts if not r["short"]]
+    sample = rows.where(drawn & (short | F.col("name").isin(long_only))).select("name", "body").collect()
     return train([r["body"] for r in sample], [r["name"] for r in sample])
 
 
