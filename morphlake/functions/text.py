@@ -8,6 +8,7 @@ booleans; dates are read and written by ``%`` directives.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,17 +113,19 @@ def to_boolean(x: Column, kind: T.DataType) -> Column:
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Directive: what it reads, and the part of a date it gives.
 _READ = {
-    "Y": (r"([0-9]{4})", "year"),
+    "Y": (r"((?!0000)[0-9]{4})", "year"),
     "y": (r"([0-9]{2})", "short_year"),
     "m": (r"(1[0-2]|0[1-9]|[1-9])", "month"),
     "d": (r"(3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9])", "day"),
     "H": (r"(2[0-3]|[01][0-9]|[0-9])", "hour"),
     "M": (r"([0-5][0-9]|[0-9])", "minute"),
-    "S": (r"(6[01]|[0-5][0-9]|[0-9])", "second"),
+    "S": (r"(6[01]|[0-5][0-9]|[0-9])", "second"),  # 60 and 61 are read, and are no time
     "j": (r"(36[0-6]|3[0-5][0-9]|[12][0-9]{2}|0[1-9][0-9]|00[1-9]|[1-9][0-9]|0[1-9]|[1-9])", "day_of_year"),
     "b": ("((?i)" + "|".join(m[:3] for m in _MONTHS) + ")", "month_name"),
     "B": ("((?i)" + "|".join(_MONTHS) + ")", "month_name"),
 }
+#: Between the parts of a date, and what stands for it in texts.
+_CUT, _NO_CUT = "\x01", "\x02"
 _WRITE = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "b": "MMM", "B": "MMMM", "j": "DDD"}
 
 
@@ -144,9 +147,13 @@ def _directives(form: str) -> list[tuple[str, str]]:
 
 
 def read_date(text: Column, form: str) -> Column:
-    """A timestamp, null where the text does not follow the format."""
+    """A timestamp, null where the text does not follow the format.
+
+    The text is matched once: the parts come out of one replacement, cut at a
+    character that the text cannot have any more, and are null without a match.
+    Nothing stands in a branch, so Catalyst evaluates each expression once."""
     pattern, parts = "", {}
-    for directive, literal in _directives(form):
+    for directive, literal in _directives(form.replace(_CUT, _NO_CUT)):
         if literal:
             # white space in a format stands for any
             pattern += "".join(r"\s+" if c.isspace() else re.escape(c) for c in re.sub(r"\s+", " ", literal))
@@ -158,10 +165,11 @@ def read_date(text: Column, form: str) -> Column:
             raise DateFormatError(f"%{directive} is given twice")
         pattern += regex
         parts[part] = len(parts) + 1
-    pattern = f"^(?:{pattern})$"
+    found = _CUT + _CUT.join(f"${k}" for k in parts.values())
+    cut = F.split(F.regexp_replace(F.translate(text, _CUT, _NO_CUT), F.lit(f"\\A(?:{pattern})\\z"), F.lit(found)), _CUT, -1)
 
     def get(part: str, default: str) -> Column:
-        return F.btrim(F.regexp_extract(text, pattern, parts[part])) if part in parts else F.lit(default)
+        return F.btrim(F.get(cut, F.lit(parts[part]))) if part in parts else F.lit(default)
 
     year = get("year", "1900")
     if "short_year" in parts and "year" not in parts:
@@ -169,31 +177,39 @@ def read_date(text: Column, form: str) -> Column:
         year = F.concat(F.when(short >= "69", F.lit("19")).otherwise(F.lit("20")), short)
     month = get("month", "1")
     if "month_name" in parts:
-        name = F.lower(F.substring(get("month_name", ""), 1, 3))
-        month = F.coalesce(*(F.when(name == m[:3], F.lit(str(k + 1))) for k, m in enumerate(_MONTHS)), F.lit("1"))
-    two = lambda c: F.lpad(c, 2, "0")
+        names = "".join(m[:3] for m in _MONTHS)
+        month = ((F.position(F.lower(F.substring(get("month_name", ""), 1, 3)), F.lit(names)) + 2) / 3).cast("int").cast("string")
     if "day_of_year" in parts and not {"month", "month_name", "day"} & parts.keys():
         first = F.try_to_timestamp(F.concat(year, F.lit("-01-01")), F.lit("yyyy-MM-dd"))
-        day = F.date_add(first.cast("date"), F.coalesce(get("day_of_year", "1").try_cast("int"), F.lit(1)) - 1)
-        date = F.date_format(day, "yyyy-MM-dd")
+        date = F.date_format(F.date_add(first.cast("date"), get("day_of_year", "1").try_cast("int") - 1), "yyyy-M-d")
     else:
-        date = F.concat_ws("-", year, two(month), two(get("day", "1")))
-    # a leap second counts as the last second of its minute
-    clock = F.concat_ws(":", two(get("hour", "0")), two(get("minute", "0")), two(F.when(get("second", "0") >= "60", F.lit("59")).otherwise(get("second", "0")) if "second" in parts else F.lit("0")))
-    made = F.try_to_timestamp(F.concat_ws(" ", date, clock), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return F.when(text.rlike(pattern), made)
+        date = F.concat(year, F.lit("-"), month, F.lit("-"), get("day", "1"))
+    # a format without any directive still has to match
+    matched = [] if parts else [F.get(cut, F.lit(1))]
+    made = F.concat(*matched, date, F.lit(" "), get("hour", "0"), F.lit(":"), get("minute", "0"), F.lit(":"), get("second", "0"))
+    return F.try_to_timestamp(made, F.lit("yyyy-M-d H:m:s"))
 
 
 def write_date(x: Column, form: str) -> Column:
-    pieces = []
-    for directive, literal in _directives(form):
+    """One pattern for the whole format, but for directives of one letter side
+    by side, which would run together; null for null."""
+    pieces, last = [""], ""
+    for literal, group in groupby(_directives(form), key=lambda d: not d[0]):
         if literal:
-            pieces.append(F.lit(literal))
-        elif directive in _WRITE:
-            pieces.append(F.date_format(x, _WRITE[directive]))
-        else:
-            raise DateFormatError(f"%{directive} cannot be written")
-    return F.concat(*pieces) if pieces else F.lit("")
+            pieces[-1] += "'" + "".join(text for _, text in group).replace("'", "''") + "'"
+            last = ""
+            continue
+        for directive, _ in group:
+            if directive not in _WRITE:
+                raise DateFormatError(f"%{directive} cannot be written")
+            if _WRITE[directive][0] == last:
+                pieces.append("")
+            last = _WRITE[directive][0]
+            pieces[-1] += _WRITE[directive]
+    if pieces == [""]:
+        return F.when(x.isNotNull(), F.lit(""))
+    made = [F.date_format(x, piece) for piece in pieces]
+    return F.concat(*made) if len(made) > 1 else made[0]
 
 
 def split_item(text: Column, separator: str, index: int) -> Column:

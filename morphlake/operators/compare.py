@@ -125,20 +125,50 @@ def leaf_table(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return df.select(*keys, F.explode(leaf_column(F.col(f"`{column}`"), kind)).alias("leaf")).select(*keys, "leaf.*")
 
 
+def leaf_count(x: Column, kind: T.DataType) -> Column:
+    """How many leaves a typed value has; never null."""
+    if isinstance(kind, T.StructType):
+        inner = sum((leaf_count(x.getField(f.name), f.dataType) for f in kind), F.lit(0))
+    elif isinstance(kind, T.ArrayType):
+        inner = F.aggregate(x, F.lit(0), lambda n, v: n + leaf_count(v, kind.elementType))
+    else:
+        return F.lit(1)
+    return F.when(x.isNull(), F.lit(1)).otherwise(inner)
+
+
+def agreeing_leaves(a: Column, a_kind: T.DataType, b: Column, b_kind: T.DataType, tolerance: float = TOLERANCE) -> Column:
+    """How many leaves of two typed values have the same path and agree; never
+    null.  Both types are known, so paths are followed, not built."""
+    neither = a.isNull() & b.isNull()
+    if isinstance(a_kind, T.StructType) and isinstance(b_kind, T.StructType):
+        shared = [f for f in a_kind if f.name in b_kind.fieldNames()]
+        inner = sum((agreeing_leaves(a.getField(f.name), f.dataType, b.getField(f.name), b_kind[f.name].dataType, tolerance) for f in shared), F.lit(0))
+    elif isinstance(a_kind, T.ArrayType) and isinstance(b_kind, T.ArrayType):
+        both = F.least(F.size(a), F.size(b))
+        pairs = F.zip_with(F.slice(a, F.lit(1), both), F.slice(b, F.lit(1), both), lambda x, y: agreeing_leaves(x, a_kind.elementType, y, b_kind.elementType, tolerance))
+        inner = F.aggregate(pairs, F.lit(0), lambda n, k: n + k)
+    elif isinstance(a_kind, (T.StructType, T.ArrayType)) or isinstance(b_kind, (T.StructType, T.ArrayType)):
+        return neither.cast("int")
+    elif is_number(a_kind) and is_number(b_kind):
+        return equal_columns(a, a_kind, b, b_kind, tolerance).cast("int")
+    elif a_kind.typeName() == b_kind.typeName():
+        return a.cast("string").eqNullSafe(b.cast("string")).cast("int")
+    else:
+        return neither.cast("int")
+    return F.when(neither, F.lit(1)).when(a.isNull() | b.isNull(), F.lit(0)).otherwise(inner)
+
+
 def field_f1_table(df: DataFrame, keys: list[str], found: str, wanted: str, tolerance: float = TOLERANCE) -> DataFrame:
-    """``keys, n_agree, n_found, n_wanted, field_f1``: both sides' leaves meet by
-    key and path.  Keys must identify rows."""
-    a = leaf_table(df, keys, found).select(*keys, "path", F.struct("number", "text", "kind").alias("a"))
-    b = leaf_table(df, keys, wanted).select(*keys, "path", F.struct("number", "text", "kind").alias("b"))
-    number, double = T.DoubleType(), F.col("a.kind") == "number"
-    same = F.when(double & (F.col("b.kind") == "number"), equal_columns(F.col("a.number"), number, F.col("b.number"), number, tolerance)).otherwise(
-        (F.col("a.kind") == F.col("b.kind")) & F.col("a.text").eqNullSafe(F.col("b.text"))
-    )
-    met = a.join(b, [*keys, "path"], "full").groupBy(*keys).agg(
-        F.count_if(F.coalesce(same, F.lit(False))).alias("n_agree"), F.count("a").alias("n_found"), F.count("b").alias("n_wanted")
+    """``keys, n_agree, n_found, n_wanted, field_f1`` of each row: both values
+    are in it, so their leaves are counted there and nothing is shuffled."""
+    a, b = F.col(f"`{found}`"), F.col(f"`{wanted}`")
+    a_kind, b_kind = df.schema[found].dataType, df.schema[wanted].dataType
+    counted = df.select(
+        *keys,
+        agreeing_leaves(a, a_kind, b, b_kind, tolerance).cast("long").alias("n_agree"),
+        leaf_count(a, a_kind).cast("long").alias("n_found"),
+        leaf_count(b, b_kind).cast("long").alias("n_wanted"),
     )
-    none = {"n_agree": 0, "n_found": 0, "n_wanted": 0}
-    counted = df.select(*keys).join(met, keys, "left").fillna(none)
     precision, recall = F.col("n_agree") / F.col("n_found"), F.col("n_agree") / F.col("n_wanted")
     score = (
         F.when((F.col("n_found") == 0) & (F.col("n_wanted") == 0), F.lit(1.0))

@@ -241,7 +241,7 @@ class Compiler:
             made = X.write_date(read, step.options["output_format"])
         except X.DateFormatError as e:
             raise CompileError(str(e)) from e
-        self._write(out, step.to, Value(made, T.StringType(), self._failing(read.isNull(), f"{step.source} is not a date", x.error)))
+        self._write(out, step.to, Value(made, T.StringType(), self._failing(made.isNull(), f"{step.source} is not a date", x.error)))
 
     def _concat(self, step: Step, out: Compiled) -> None:
         values = [self.read(p) for p in step.sources]
