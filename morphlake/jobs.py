@@ -1,9 +1,12 @@
-"""The jobs of a run, each reading and writing folders: generate, split,
-validate, evaluate, rescore, summarize."""
+"""The jobs of a run, each reading and writing folders: generate, examples,
+split, validate, token budget, evaluate, rescore, verify, summarize."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import dataset, metrics, report, score
@@ -17,10 +20,17 @@ TESTS = ("test_iid", "test_linguistic_ood", "test_compositional_ood", "test_stru
 
 
 def generate(spark: SparkSession, out: str, n: int = dataset.CANDIDATES, seed: int = dataset.SEED, shards: int = 4) -> None:
-    """Candidates as JSON lines, one file for each shard."""
+    """Candidates as JSON lines, one file for each shard; shards go by stride."""
     files.write_json_lines(dataset.generate(spark, n, seed, shards), f"{out}/candidates")
 
 
+def examples(spark: SparkSession, authored: str, out: str) -> None:
+    """Authored examples (JSON lines of ``dataset.examples``' columns), checked
+    and run, as rows of the dataset."""
+    given = files.read_json_lines(spark, authored, schema="index long, instruction string, input string, steps string, expected string")
+    files.write_json_lines(dataset.examples(given), out)
+
+
 def candidates(spark: SparkSession, root: str) -> DataFrame:
     """All shards; rows know their place by index, so nothing is sorted."""
     return files.read_json_lines(spark, f"{root}/candidates", schema=dataset.CANDIDATE)
@@ -29,11 +39,12 @@ def candidates(spark: SparkSession, root: str) -> DataFrame:
 def split(spark: SparkSession, root: str) -> dict:
     """Write every split with what belongs to it, the manifest and the quality
     counts.  Raises if indexes have gaps or training rows leak into tests."""
-    rows = candidates(spark, root)
-    whole = dataset.index_check(rows).first()
+    whole = dataset.index_check(candidates(spark, root)).first()
     if not whole["complete"]:
         raise ValueError(f"candidates are incomplete: {whole.asDict()}")
-    splits = dataset.all_splits(rows)
+    # JSON is parsed once; splits are read by folder from here on
+    dataset.all_splits(candidates(spark, root)).write.mode("overwrite").partitionBy("split").parquet(f"{root}/staged/splits")
+    splits = spark.read.parquet(f"{root}/staged/splits")
     leaks = {r["check"]: r["overlap"] for r in dataset.leakage(splits).collect()}
     if any(leaks.values()):
         raise ValueError(f"training rows leak into tests: {leaks}")
@@ -51,7 +62,7 @@ def split(spark: SparkSession, root: str) -> dict:
     manifest = {"candidate_count": whole["rows"], "counts": counts, "hidden_cases": dataset.HIDDEN_CASES, "leakage_checks": leaks, "status": "PASS"}
     files.write_json(spark, manifest, f"{root}/manifests/data_manifest")
     quality: dict[str, dict[str, int]] = {}
-    for r in dataset.quality(rows).collect():
+    for r in dataset.quality(candidates(spark, root)).collect():
         quality.setdefault(r["measure"], {})[r["value"]] = r["count"]
     files.write_json(spark, quality, f"{root}/manifests/data_quality_summary")
     return manifest
@@ -103,45 +114,155 @@ def raw_rows(spark: SparkSession, completions: DataFrame, rows: DataFrame, run_i
         F.lit(run_id).alias("run"), "split", "sample_id", "completion", "program", "components", "cases", "reward",
         metrics.final_failure(F.col("failure_type"), F.col("finish_reason"), exact).alias("failure_type"),
         "prompt_tokens", "completion_tokens", "latency_ms",
-        F.coalesce(F.json_array_length("hidden_tests"), F.lit(0)).alias("n_hidden"),
-        score.gold_leaves("hidden_tests").alias("n_gold"),
+        *_known(),
         (F.try_parse_json("completion").isNotNull() & F.ltrim("completion").startswith("{")).alias("is_json"),
-        (F.col("difficulty.has_null") | F.col("difficulty.has_array") | F.col("difficulty.has_condition")).alias("is_edge"),
     )
 
 
 def evaluate(spark: SparkSession, root: str, completions: str, out: str, run_id: str) -> DataFrame:
     """Score the completions of a run over all test splits; writes raw rows,
-    failures, metrics and the failure summary."""
+    failures, metrics and the failure summary.  What was measured while
+    generating comes in by ``rescore``."""
     rows = _rows(spark, f"{root}/test/*")
     raw_rows(spark, files.read_json_lines(spark, completions, schema=COMPLETION), rows, run_id).write.parquet(f"{out}/raw")
-    return rescore(spark, out)
+    return _tables(spark, spark.read.parquet(f"{out}/raw"), out)
 
 
-def rescore(spark: SparkSession, out: str) -> DataFrame:
-    """Metrics and summaries from the stored rows of a run."""
-    raw = spark.read.parquet(f"{out}/raw")
-    made = metrics.split_metrics(raw, ["run", "split"])
+def _tables(spark: SparkSession, raw: DataFrame, out: str, made: DataFrame | None = None) -> DataFrame:
+    made = metrics.split_metrics(raw, ["run", "split"]) if made is None else made
     made.write.mode("overwrite").parquet(f"{out}/metrics")
     metrics.failure_histogram(raw, ["run", "split"]).write.mode("overwrite").parquet(f"{out}/failure_summary")
     files.write_json_lines(metrics.failures(raw).select("run", "split", "sample_id", "completion", "failure_type"), f"{out}/failures", "overwrite")
     return spark.read.parquet(f"{out}/metrics")
 
 
+MEASURED = "run string, split string, generation_wall_seconds double, peak_vram_mb double"
+
+
+def rescore(spark: SparkSession, out: str, root: str | None = None, measured: str | None = None) -> DataFrame:
+    """Metrics and summaries from the stored rows of a run.  With ``root`` what
+    the dataset knows (hidden cases, leaves, edge flags) is read from it anew, and
+    a row without its problem is an error; ``measured`` names JSON lines with
+    ``MEASURED``, which is carried over, as it cannot be computed again."""
+    raw = spark.read.parquet(f"{out}/raw")
+    if root is None and measured is None:
+        return _tables(spark, raw, out)
+    if root is None:
+        known = raw.select("sample_id", "n_hidden", "n_gold", "is_edge")
+    else:
+        rows = _rows(spark, f"{root}/test/*")
+        missing = raw.join(rows, "sample_id", "left_anti").count()
+        if missing:
+            raise ValueError(f"{missing} stored rows are not in the dataset")
+        known = rows.select("sample_id", *_known())
+    empty = spark.createDataFrame([], MEASURED)
+    old = files.read_json_lines(spark, measured, schema=MEASURED) if measured else empty
+    carried = ["generation_wall_seconds", "peak_vram_mb"]
+    return _tables(spark, raw, out, metrics.rescore(raw.drop("n_hidden", "n_gold", "is_edge"), known, old, ["run", "split"], carried))
+
+
+def _known() -> list[Column]:
+    """What metrics need of a problem."""
+    return [
+        F.coalesce(F.json_array_length("hidden_tests"), F.lit(0)).alias("n_hidden"),
+        score.gold_leaves("hidden_tests").alias("n_gold"),
+        (F.col("difficulty.has_null") | F.col("difficulty.has_array") | F.col("difficulty.has_condition")).alias("is_edge"),
+    ]
+
+
+def token_budget(spark: SparkSession, root: str, tokenizer: str, most_prompt: int, most_completion: int, prompt_form: str = "{}", end: str = "") -> dict:
+    """The longest prompt and completion in tokens over all splits, the first of
+    equals by file and index, and whether both keep within their limits.
+    ``tokenizer`` is a file of the tokenizers library; ``prompt_form`` puts a
+    prompt into the form of a model, ``end`` ends a completion."""
+    with open(tokenizer, encoding="utf-8") as f:
+        text = f.read()
+
+    @F.pandas_udf("long")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        known = Tokenizer.from_str(text)
+        for batch in batches:
+            yield pd.Series([len(x.ids) for x in known.encode_batch(batch.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
+
+    before, after = prompt_form.split("{}")
+    folders = ["sft/sft_6k", "grpo/prompts", "dev/dev", *(f"test/{t}" for t in TESTS)]
+    found = None
+    for place, folder in enumerate(folders):
+        rows = _rows(spark, f"{root}/{folder}", "sample_id string, seed long, prompt string, completion string").withColumn("place", F.lit(place))
+        found = rows if found is None else found.unionByName(rows)
+    counted = found.select(
+        "sample_id",
+        F.struct(-F.col("place"), -F.col("seed")).alias("first"),
+        tokens(F.concat(F.lit(before), "prompt", F.lit(after))).alias("prompt"),
+        F.when(F.col("completion").isNotNull(), tokens(F.concat("completion", F.lit(end)))).alias("completion"),
+    )
+    top = lambda c: F.max_by("sample_id", F.when(F.col(c) > 0, F.struct(c, "first")))
+    got = counted.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("prompt"), F.lit(0)).alias("max_prompt_tokens"), top("prompt").alias("max_prompt_sample_id"),
+        F.coalesce(F.max("completion"), F.lit(0)).alias("max_completion_tokens"), top("completion").alias("max_completion_sample_id"),
+    ).first().asDict()
+    kept = got["max_prompt_tokens"] <= most_prompt and got["max_completion_tokens"] <= most_completion
+    return got | {"prompt_limit": most_prompt, "completion_limit": most_completion, "status": "PASS" if kept else "FAIL"}
+
+
+RAW_COLUMNS = set("run split sample_id completion program components cases failure_type prompt_tokens completion_tokens latency_ms".split())
+
+
+def verify(spark: SparkSession, runs: dict[str, int]) -> dict[str, int]:
+    """Runs (folder of ``evaluate``: rows expected) that are whole: every column
+    of the raw rows and as many rows as expected; anything else raises."""
+    found = {}
+    for folder, wanted in runs.items():
+        raw = spark.read.parquet(f"{folder}/raw")
+        files.require_columns(raw, RAW_COLUMNS)
+        found[folder] = raw.count()
+        if found[folder] != int(wanted):
+            raise ValueError(f"{folder}: {found[folder]} rows, {wanted} expected")
+    return found
+
+
 def summarize(spark: SparkSession, runs: dict[str, str], out: str) -> str:
-    """Reports over several runs (name: folder of ``evaluate``)."""
-    made, counts = ([spark.read.parquet(f"{folder}/{kind}") for folder in runs.values()] for kind in ("metrics", "failure_summary"))
-    table, histogram = made[0], counts[0]
-    for more, other in zip(made[1:], counts[1:]):
-        table, histogram = table.unionByName(more), histogram.unionByName(other)
+    """Reports over several runs (name: folder of ``evaluate``): means, exact
+    rates by split, peak memory where it was measured, failures, the four most
+    frequent ones, and the first right and wrong completion of each run."""
+
+    def read(kind: str) -> DataFrame:
+        tables = [spark.read.parquet(f"{folder}/{kind}") for folder in runs.values()]
+        whole = tables[0]
+        for more in tables[1:]:
+            whole = whole.unionByName(more, allowMissingColumns=True)
+        return whole
+
+    table, histogram, raw = read("metrics"), read("failure_summary"), read("raw")
     means = report.weighted_means(table, ["run"], list(METRICS))
     exact = report.pivoted(table, "run", "split", list(TESTS), "problem_exact_pass_rate")
-    benchmark = exact.join(means, "run").orderBy("run")
+    benchmark = exact.join(means, "run")
+    if "peak_vram_mb" in table.columns:
+        benchmark = benchmark.join(report.peaks(table, ["run"], "peak_vram_mb").withColumnRenamed("peak", "peak_vram_mb"), "run", "left")
+    benchmark = benchmark.orderBy("run")
     files.write_csv(benchmark.coalesce(1), f"{out}/benchmark_summary")
     failed = report.failure_report(histogram, table, list(runs), list(TESTS))
     files.write_csv(failed.coalesce(1), f"{out}/failure_summary")
-    top = report.top_per_group(report.summed(histogram, ["run", "failure_type"]), ["run"], 4, F.desc("count"), F.col("failure_type"))
+    # of equally frequent failures the one met first, by split and then name
+    met = F.min(F.array_position(F.array(*map(F.lit, TESTS)), F.col("split"))).alias("met")
+    summed = histogram.groupBy("run", "failure_type").agg(F.sum("count").alias("count"), met)
+    top = report.top_per_group(summed, ["run"], 4, F.desc("count"), F.col("met"), F.col("failure_type")).drop("met")
     shown = benchmark.select("run", *(report.fixed(F.col(c), 3).alias(c) for c in benchmark.columns if c != "run"))
-    text = f"# Runs\n\n{report.markdown(shown)}\n# Most frequent failures\n\n{report.markdown(top.orderBy('run', 'rank'))}"
+    right = (F.size("cases") > 0) & (F.size("cases") == F.col("n_hidden")) & F.forall("cases", lambda c: c["passed"])
+    shots = [
+        report.first_match(raw, ["run"], right if good else ~right, "sample_id", ["split", "completion", "failure_type"]).select(
+            "run", F.lit("right" if good else "wrong").alias("kind"), "split", "sample_id", "failure_type", report.excerpt(F.col("completion")).alias("completion")
+        )
+        for good in (True, False)
+    ]
+    text = "\n".join(
+        [
+            f"# Runs\n\n{report.markdown(shown)}",
+            f"# Most frequent failures\n\n{report.markdown(top.orderBy('run', 'rank'))}",
+            f"# Examples\n\n{report.markdown(shots[0].unionByName(shots[1]).orderBy('run', 'kind'))}",
+        ]
+    )
     files.write_text(spark, text, f"{out}/report")
     return text

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..plans.analyze import check
 from ..plans.program import parse
 from ..plans.records import compiled
-from ..plans.schema import first_breach, infer
+from ..plans.schema import first_breach, infer, infer_one
 from .compare import equal
 from .instructions import family_of, instruction, prompt
 from .patterns import CANDIDATES, PARTITIONS, PATTERNS, filled, prefixed
@@ -177,7 +177,38 @@ def generate(spark: SparkSession, n: int = CANDIDATES, base_seed: int = SEED, pa
             rows = [candidate(i, base_seed) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return spark.range(0, n, 1, partitions).mapInArrow(run, CANDIDATE)
+    if partitions is None:
+        return spark.range(n).mapInArrow(run, CANDIDATE)
+    # task k of m makes its own indexes k, k + m, ...: shards by stride without a shuffle
+    firsts = spark.range(0, partitions, 1, partitions).where(F.col("id") < n)
+    return firsts.select(F.explode(F.sequence("id", F.lit(n - 1), F.lit(partitions))).alias("id")).mapInArrow(run, CANDIDATE)
+
+
+EXAMPLE = "sample_id string, source_schema string, target_schema string, instruction string, visible_examples string, reference_program string, hidden_tests string"
+
+
+def examples(given: DataFrame) -> DataFrame:
+    """Authored examples (``index, instruction, input, steps, expected``, the last
+    three JSON texts) as rows of the dataset, one hidden case each.  A program
+    that does not check or does not give what is expected raises."""
+
+    def made(index: int, instruction: str, record: Any, steps: Any, expected: Any) -> tuple[str, ...]:
+        program = parse({"steps": steps})
+        source, target = infer_one(record), infer_one(expected)
+        found = compiled(program)(record)
+        wrong = check(program, source, target) or first_breach(found, target) or (None if equal(found, expected) else "the program gives another result")
+        if wrong:
+            raise ValueError(f"example {index}: {wrong}")
+        case = {"input": record, "expected": expected}
+        return (f"core_example_{index:02d}", json.dumps(source), json.dumps(target), instruction, "[]", json.dumps({"steps": steps}), json.dumps([case]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in EXAMPLE.split(", ")]
+        for batch in batches:
+            rows = [made(i, text, *map(json.loads, rest)) for i, text, *rest in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
+
+    return given.select("index", "instruction", "input", "steps", "expected").mapInArrow(run, EXAMPLE)
 
 
 def hidden_cases(rows: DataFrame, kind: str) -> DataFrame:

@@ -59,7 +59,7 @@ def split_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         F.coalesce("is_json", F.lit(False)).alias("is_json"),
         F.col("program").isNotNull().alias("is_program"),
-        ((done > 0) & ~F.exists(cases, lambda c: c["error"].isNotNull())).alias("is_executable"),
+        ((done > 0) & (done == F.col("n_hidden")) & ~F.exists(cases, lambda c: c["error"].isNotNull())).alias("is_executable"),
         flag("passed").alias("passed"),
         flag("schema_pass").alias("conform"),
         ((done > 0) & (done == F.col("n_hidden")) & F.forall(cases, lambda c: c["passed"])).alias("exact"),
