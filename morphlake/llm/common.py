@@ -61,6 +61,35 @@ def ascii_lower(col: Column) -> Column:
     return F.when(col.rlike(other_case), F.translate(col, UPPER, LOWER)).otherwise(F.lower(col))
 
 
+#: Bits that a key filter spends on a key, and the most that one has (32 MB).
+BITS_A_KEY, FILTER_BITS = 16, 1 << 28
+#: Bits in one of Spark's bitmaps.
+BITMAP = 1 << 15
+
+
+def may_hold(rows: DataFrame, key: Column, keys: DataFrame, mark: str) -> DataFrame:
+    """``rows`` and a boolean ``mark``: false where ``key`` is certainly none of
+    ``keys`` (one column of the same type), so that such rows need no join.
+
+    Bitmaps of hashed keys are broadcast, FILTER_BITS at most.  The more keys
+    there are beyond that, the more rows are marked; none is ever missed.
+    Nulls are keys like others.
+    """
+    slots = min(FILTER_BITS, max(BITMAP, 1 << (BITS_A_KEY * keys.count() - 1).bit_length()))
+
+    def place(c: Column) -> Column:
+        return F.xxhash64(c).bitwiseAND(F.lit(slots - 1))
+
+    at, part, bits = (spare_name(rows, n) for n in ("place", "part", "bits"))
+    places = keys.select(place(F.col(keys.columns[0])).alias(at)).distinct()
+    split = places.select(F.floor(F.col(at) / BITMAP).alias(part), (F.col(at) % BITMAP).alias(at)).repartition(part)
+    maps = materialize(split.groupBy(part).agg(F.bitmap_construct_agg(at).alias(bits)), "filter")
+    on = F.floor(F.col(at) / BITMAP) == F.col(part)
+    byte = F.conv(F.hex(F.substring(bits, (F.col(at) % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.getbit(byte, (F.col(at) % 8).cast("int")) == 1
+    return rows.withColumn(at, place(key)).join(F.broadcast(maps), on, "left").select(*rows.columns, F.coalesce(found, F.lit(False)).alias(mark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,8 +4,8 @@ Each text is cut where its own content says so (after a line end or a sentence
 end), so equal passages give equal chunks wherever they stand.  A chunk is
 known by a 64-bit hash which is verified with SHA-256: a hash that stands for
 two contents is replaced by the digest itself.  Texts are then compared by
-their ordered lists of identifiers.  The text itself is read once and never
-shuffled; what moves is about 10 bytes for each 600 characters.
+their ordered lists of identifiers.  To find copies the text is read once
+and not shuffled; what moves is about 10 bytes for each 600 characters.
 
 Defined results: a null text counts as empty; an empty text has an empty
 recipe and groups with other empty texts; a null id is smaller than any other;
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, spare_name
+from .common import ascii_lower, materialize, may_hold, spare_name
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 #: A chunk ends at the first line or sentence end after MIN_CHUNK characters.
@@ -100,14 +100,18 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` with one row for each text; columns as they came.
 
     Repeated rows (same id, same text) are copies as well: one of them stays.
+    Only rows that a filter of the dropped ids lets through are shuffled with
+    their texts; the others stay where they are.
     """
     found = materialize(exact_groups(docs, id_col, text_col), "decisions")
-    mark, key, gone_mark = (spare_name(docs, n) for n in ("digest", "drop_id", "drop_digest"))
+    mark, key, gone_mark, hint = (spare_name(docs, n) for n in ("digest", "drop_id", "drop_digest", "in_doubt"))
     repeated = materialize(found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1"), "repeated")
     again = not repeated.isEmpty()
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(gone_mark))
-    rows = docs.withColumn(mark, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    dropped = materialize(found.where(~F.col("kept")).select("doc_id", "text_sha256"), "dropped")
+    marked = may_hold(docs, F.col(id_col), dropped.select("doc_id").union(repeated.select("doc_id")), hint)
+    rows = marked.where(F.col(hint)).withColumn(mark, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    gone = dropped.select(F.col("doc_id").alias(key), F.col("text_sha256").alias(gone_mark))
     left = rows.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(gone_mark)), "left_anti")
     if again:
         left = left.dropDuplicates([id_col, mark])
-    return left.select(*docs.columns)
+    return marked.where(~F.col(hint)).select(*docs.columns).union(left.select(*docs.columns))

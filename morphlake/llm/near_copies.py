@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, spare_name
+from .common import materialize, may_hold, spare_name
 from .graph import components
 from .simhash import SEED, STEP, by_key, close_pairs, compared, join_labels, keyed
 
@@ -192,7 +192,9 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     found = materialize(compared(rows, n * len(keys), by_key(_proposed), "a long, b long, tried boolean").distinct(), "proposed")
     first = materialize(found.where("tried").groupBy("a").agg(F.min("b").alias("b")), "first")
     wanted = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k1", "k2", "hash"), "node"), "wanted")
-    made = with_sets(texts.join(wanted.select("hash").distinct(), "hash", "left_semi").select("text"), "text", ("k1", "k2"), "items", _as_longs)
+    asked = wanted.select("hash").distinct()
+    asked_texts = may_hold(texts, F.col("hash"), asked, "asked").where("asked").join(asked, "hash", "left_semi").select("text")
+    made = with_sets(asked_texts, "text", ("k1", "k2"), "items", _as_longs)
     sets = materialize(made.groupBy("k1", "k2").agg(F.first("items").alias("items")).join(wanted, ["k1", "k2"]).select("node", "items"), "sets")
     links = materialize(_verified(first if ROUNDS else first.limit(0), sets), "links")
     # what candidates connect and true links do not is open
@@ -234,13 +236,19 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Where ids repeat, rows are told apart by their shingles too: the group's
     smallest (id, shingles) stays, and of rows that share all of them one.
+    Only rows that a filter of dropped and repeated ids lets through are
+    shuffled with their texts.
     """
     found = materialize(near_groups(docs, id_col, text_col), "groups")
-    key, gone_1, gone_2, k1, k2, copy = (spare_name(docs, n) for n in ("drop_id", "drop_k1", "drop_k2", "own_k1", "own_k2", "own_text"))
-    gone = found.where(~F.col("stays")).select(F.col("doc_id").alias(key), F.col("k1").alias(gone_1), F.col("k2").alias(gone_2))
+    key, gone_1, gone_2, k1, k2, copy, hint = (spare_name(docs, n) for n in ("drop_id", "drop_k1", "drop_k2", "own_k1", "own_k2", "own_text", "in_doubt"))
+    dropped = materialize(found.where(~F.col("stays")).select("doc_id", "k1", "k2"), "dropped")
+    repeated = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    marked = may_hold(docs, F.col(id_col).cast("long"), dropped.select("doc_id").union(repeated), hint)
+    rows, clear = marked.where(F.col(hint)).select(*docs.columns), marked.where(~F.col(hint)).select(*docs.columns)
+    gone = dropped.select(F.col("doc_id").alias(key), F.col("k1").alias(gone_1), F.col("k2").alias(gone_2))
     same = F.col(id_col).eqNullSafe(F.col(key))
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(gone, same, "left_anti").select(*docs.columns)
-    marked = with_sets(docs.withColumn(copy, F.col(text_col)), copy, (k1, k2))
-    kept = marked.join(gone, same & (F.col(k1) == F.col(gone_1)) & (F.col(k2) == F.col(gone_2)), "left_anti")
-    return kept.dropDuplicates([id_col, k1, k2]).select(*docs.columns)
+    if repeated.isEmpty():
+        return clear.union(rows.join(gone, same, "left_anti").select(*docs.columns))
+    told = with_sets(rows.withColumn(copy, F.col(text_col)), copy, (k1, k2))
+    kept = told.join(gone, same & (F.col(k1) == F.col(gone_1)) & (F.col(k2) == F.col(gone_2)), "left_anti")
+    return clear.union(kept.dropDuplicates([id_col, k1, k2]).select(*docs.columns))
