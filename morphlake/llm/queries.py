@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import centroids, sql
+from .audit import audit
 from .common import materialize, new_path, table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_groups
 from .langid import identify
 from .packing import pack_documents
+from .quality import quality
 from .rollup import Rollup, count_tokens, deletes, inserts, revisions
 from .secrets import digest_columns, scan
 from .simhash import near_groups
@@ -83,6 +86,18 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -94,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_rollup": op8_token_rollup,
     "op9_langid": op9_langid,
     "op10_token_store": op10_token_store,
+    "op11_quality": op11_quality,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +132,6 @@ ORACLE_SQL: dict[str, str] = {
                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
               FROM documents)
     """,
+    "op12_filter_audit": sql.AUDIT,
+    "op13_centroids": sql.clusters(centroids.ROUNDS, centroids.CENTROIDS, centroids.DIMENSIONS, centroids.SEED),
 }
