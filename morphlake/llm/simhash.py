@@ -40,9 +40,6 @@ from .common import materialize
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: The rule that the pipeline had before ``near_copies``: a radius, and the shingle
-#: and radius of a second fingerprint; ``test_pipeline`` still reads it.
-STAGE_RADIUS, CONFIRM = 8, (5, 14)
 KEY_ROWS = 4096
 #: Blocks are added until a key has this many fingerprints on average at most.
 KEY_MEAN = 256

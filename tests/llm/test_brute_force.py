@@ -16,6 +16,8 @@ import corpus_pipeline
 from morphlake.llm import decontaminate, langid, packing, queries, rollup, secrets, simhash, token_store, tokens, toxicity, warc
 from morphlake.llm.common import new_path
 
+from .test_near_copies import survivors
+
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re", "So", "té", "vü") for b in ("ba", "den", "fo.", "gi", "ran,", "sol", "tu", "wem\n")]
 FRENCH = ["le", "eau", "être", "château", "peut", "quoi", "très", "oiseau"]
 
@@ -368,7 +370,7 @@ def test_pipeline(spark, corpus):
         elif name == "exact_dedup":
             assert kept == {max(d for d, t in before.items() if lower(t) == x) for x in {lower(t) for t in before.values()}}
         elif name == "simhash":
-            assert kept == {c for _, c in near_groups(before, simhash.STAGE_RADIUS, simhash.CONFIRM).values()}
+            assert kept == survivors(before)
         elif name == "decontaminate":
             bad = {r.doc_id for r in decontaminate.find_contamination(now, spark.read.parquet(f"{folder}/benchmark.parquet")).collect() if r.contaminated}
             assert bad and kept == before.keys() - bad
