@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scored_queries
+from . import json_queries, scored_queries
 from .operators import compare, dataset, dynamic, metrics, report
 from .operators.patterns import PATTERNS
 from .operators.transform import transform
@@ -608,8 +608,9 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("score_classes", _scored, None)
 
-for _name, _query in scored_queries.QUERIES.items():
-    _add(_name, _query, scored_queries.ORACLE_SQL.get(_name))
+for _module in (scored_queries, json_queries):
+    for _name, _query in _module.QUERIES.items():
+        _add(_name, _query, _module.ORACLE_SQL.get(_name))
 _add(
     "dataset_columns",
     scored_queries.QUERIES["dataset_columns"],

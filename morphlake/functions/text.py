@@ -146,12 +146,8 @@ def _directives(form: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_date(text: Column, form: str) -> Column:
-    """A timestamp, null where the text does not follow the format.
-
-    The text is matched once: the parts come out of one replacement, cut at a
-    character that the text cannot have any more, and are null without a match.
-    Nothing stands in a branch, so Catalyst evaluates each expression once."""
+def date_pattern(form: str) -> tuple[str, dict[str, int]]:
+    """The regular expression of a format, and which group each part of a date is."""
     pattern, parts = "", {}
     for directive, literal in _directives(form.replace(_CUT, _NO_CUT)):
         if literal:
@@ -165,23 +161,48 @@ def read_date(text: Column, form: str) -> Column:
             raise DateFormatError(f"%{directive} is given twice")
         pattern += regex
         parts[part] = len(parts) + 1
-    found = _CUT + _CUT.join(f"${k}" for k in parts.values())
-    cut = F.split(F.regexp_replace(F.translate(text, _CUT, _NO_CUT), F.lit(f"\\A(?:{pattern})\\z"), F.lit(found)), _CUT, -1)
+    return f"\\A(?:{pattern})\\z", parts
+
+
+def _cut(text: Column, pattern: Column, n_parts: int) -> Column:
+    found = _CUT + _CUT.join(f"${k}" for k in range(1, n_parts + 1))
+    return F.split(F.regexp_replace(F.translate(text, _CUT, _NO_CUT), pattern, F.lit(found)), _CUT, -1)
+
+
+def _full_year(short: Column) -> Column:
+    return F.concat(F.when(short >= "69", F.lit("19")).otherwise(F.lit("20")), short)
+
+
+def _month_number(name: Column) -> Column:
+    names = "".join(m[:3] for m in _MONTHS)
+    return ((F.position(F.lower(F.substring(name, 1, 3)), F.lit(names)) + 2) / 3).cast("int").cast("string")
+
+
+def _day_date(year: Column, day_of_year: Column) -> Column:
+    first = F.try_to_timestamp(F.concat(year, F.lit("-01-01")), F.lit("yyyy-MM-dd"))
+    return F.date_format(F.date_add(first.cast("date"), day_of_year.try_cast("int") - 1), "yyyy-M-d")
+
+
+def read_date(text: Column, form: str) -> Column:
+    """A timestamp, null where the text does not follow the format.
+
+    The text is matched once: the parts come out of one replacement, cut at a
+    character that the text cannot have any more, and are null without a match.
+    Nothing stands in a branch, so Catalyst evaluates each expression once."""
+    pattern, parts = date_pattern(form)
+    cut = _cut(text, F.lit(pattern), len(parts))
 
     def get(part: str, default: str) -> Column:
         return F.btrim(F.get(cut, F.lit(parts[part]))) if part in parts else F.lit(default)
 
     year = get("year", "1900")
     if "short_year" in parts and "year" not in parts:
-        short = get("short_year", "00")
-        year = F.concat(F.when(short >= "69", F.lit("19")).otherwise(F.lit("20")), short)
+        year = _full_year(get("short_year", "00"))
     month = get("month", "1")
     if "month_name" in parts:
-        names = "".join(m[:3] for m in _MONTHS)
-        month = ((F.position(F.lower(F.substring(get("month_name", ""), 1, 3)), F.lit(names)) + 2) / 3).cast("int").cast("string")
+        month = _month_number(get("month_name", ""))
     if "day_of_year" in parts and not {"month", "month_name", "day"} & parts.keys():
-        first = F.try_to_timestamp(F.concat(year, F.lit("-01-01")), F.lit("yyyy-MM-dd"))
-        date = F.date_format(F.date_add(first.cast("date"), get("day_of_year", "1").try_cast("int") - 1), "yyyy-M-d")
+        date = _day_date(year, get("day_of_year", "1"))
     else:
         date = F.concat(year, F.lit("-"), month, F.lit("-"), get("day", "1"))
     # a format without any directive still has to match
@@ -190,9 +211,30 @@ def read_date(text: Column, form: str) -> Column:
     return F.try_to_timestamp(made, F.lit("yyyy-M-d H:m:s"))
 
 
-def write_date(x: Column, form: str) -> Column:
-    """One pattern for the whole format, but for directives of one letter side
-    by side, which would run together; null for null."""
+def read_date_by(text: Column, pattern: Column, parts: Column) -> Column:
+    """``read_date`` where the format is data: the pattern, and the map from parts
+    to groups, of ``date_pattern``."""
+    groups = F.map_values(parts)
+    found = F.concat(F.lit(_CUT), F.array_join(F.transform(groups, lambda k: F.concat(F.lit("$"), k.cast("string"))), _CUT))
+    cut = F.split(F.regexp_replace(F.translate(text, _CUT, _NO_CUT), pattern, found), _CUT, -1)
+
+    def from_cut(c: Column) -> Column:
+        has = lambda part: F.try_element_at(parts, F.lit(part)).isNotNull()
+        get = lambda part, default: F.when(has(part), F.btrim(F.get(c, F.try_element_at(parts, F.lit(part))))).otherwise(F.lit(default))
+        year = F.when(has("short_year") & ~has("year"), _full_year(get("short_year", "00"))).otherwise(get("year", "1900"))
+        month = F.when(has("month_name"), _month_number(get("month_name", ""))).otherwise(get("month", "1"))
+        by_day = has("day_of_year") & ~has("month") & ~has("month_name") & ~has("day")
+        date = F.when(by_day, _day_date(year, get("day_of_year", "1"))).otherwise(F.concat(year, F.lit("-"), month, F.lit("-"), get("day", "1")))
+        matched = F.when(F.size(parts) == 0, F.get(c, F.lit(1))).otherwise(F.lit(""))
+        made = F.concat(matched, date, F.lit(" "), get("hour", "0"), F.lit(":"), get("minute", "0"), F.lit(":"), get("second", "0"))
+        return F.try_to_timestamp(made, F.lit("yyyy-M-d H:m:s"))
+
+    return F.get(F.transform(F.array(cut), from_cut), F.lit(0))
+
+
+def date_pieces(form: str) -> list[str]:
+    """Patterns whose results side by side are a date in this format: one, but
+    for directives of one letter side by side, which would run together."""
     pieces, last = [""], ""
     for literal, group in groupby(_directives(form), key=lambda d: not d[0]):
         if literal:
@@ -206,7 +248,19 @@ def write_date(x: Column, form: str) -> Column:
                 pieces.append("")
             last = _WRITE[directive][0]
             pieces[-1] += _WRITE[directive]
-    if pieces == [""]:
+    return [] if pieces == [""] else pieces
+
+
+def write_date_by(x: Column, pieces: Column) -> Column:
+    """``write_date`` where the format is data: the list of ``date_pieces``."""
+    made = F.array_join(F.transform(pieces, lambda p: F.call_function("date_format", x, p)), "")
+    return F.when(x.isNotNull(), made)
+
+
+def write_date(x: Column, form: str) -> Column:
+    """A date as text; null for null."""
+    pieces = date_pieces(form)
+    if not pieces:
         return F.when(x.isNotNull(), F.lit(""))
     made = [F.date_format(x, piece) for piece in pieces]
     return F.concat(*made) if len(made) > 1 else made[0]

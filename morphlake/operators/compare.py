@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import variant as V
 from ..functions.text import is_number
 
 TOLERANCE = 1e-6
@@ -169,10 +170,48 @@ def field_f1_table(df: DataFrame, keys: list[str], found: str, wanted: str, tole
         leaf_count(a, a_kind).cast("long").alias("n_found"),
         leaf_count(b, b_kind).cast("long").alias("n_wanted"),
     )
-    precision, recall = F.col("n_agree") / F.col("n_found"), F.col("n_agree") / F.col("n_wanted")
-    score = (
-        F.when((F.col("n_found") == 0) & (F.col("n_wanted") == 0), F.lit(1.0))
-        .when(F.col("n_agree") == 0, F.lit(0.0))
-        .otherwise(2 * precision * recall / (precision + recall))
+    return counted.withColumn("field_f1", f1_column(F.col("n_agree"), F.col("n_found"), F.col("n_wanted")))
+
+
+# -- JSON columns of unknown shape -----------------------------------------
+
+
+def json_value(text: Column) -> Column:
+    """JSON text as a VARIANT; null where it is none."""
+    return F.try_parse_json(text)
+
+
+def json_equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
+    """``equal`` of two VARIANT columns; two absent values are equal, one is not."""
+    both = V.nodes_equal(V.nodes(a), V.nodes(b), tolerance)
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(both)
+
+
+def json_leaf_table(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """One row for each leaf of a VARIANT column: ``path``, ``kind`` and ``value``
+    (the text; null for JSON's null), beside ``keys``."""
+    kinds = F.create_map(*(F.lit(x) for pair in {V.NULL: "null", V.BOOLEAN: "boolean", V.INTEGER: "integer", V.STRING: "string"}.items() for x in pair))
+    leaf = df.select(*keys, F.explode(V.leaves(V.nodes(F.col(f"`{column}`")))).alias("leaf"))
+    kind = F.coalesce(F.try_element_at(kinds, V.kind(F.col("leaf.v"))), F.lit("number"))
+    return leaf.select(*keys, "leaf.path", kind.alias("kind"), F.when(kind != "null", V.text(F.col("leaf.v"))).alias("value"))
+
+
+def json_f1_table(df: DataFrame, keys: list[str], found: str, wanted: str, tolerance: float = TOLERANCE) -> DataFrame:
+    """``keys, same, n_agree, n_found, n_wanted, field_f1`` of two VARIANT columns of
+    any shape.  Both are opened level by level within the row: nothing is
+    shuffled or sent to Python.  An absent value has no leaves."""
+    a, b = F.col(f"`{found}`"), F.col(f"`{wanted}`")
+    none = F.array().cast(V.NODES)
+    nodes = lambda v: F.when(v.isNull(), none).otherwise(V.nodes(v))
+    opened = df.select(*keys, a.isNull().alias("no_a"), b.isNull().alias("no_b"), nodes(a).alias("a"), nodes(b).alias("b"))
+    same = F.when(F.col("no_a") | F.col("no_b"), F.col("no_a") & F.col("no_b")).otherwise(V.nodes_equal(F.col("a"), F.col("b"), tolerance))
+    leaves = opened.select(*keys, same.alias("same"), V.leaves(F.col("a")).alias("a"), V.leaves(F.col("b")).alias("b"))
+    counted = leaves.select(
+        *keys, "same", V.agreeing(F.col("a"), F.col("b"), tolerance).cast("long").alias("n_agree"), F.size("a").cast("long").alias("n_found"), F.size("b").cast("long").alias("n_wanted")
     )
-    return counted.withColumn("field_f1", score)
+    return counted.withColumn("field_f1", f1_column(F.col("n_agree"), F.col("n_found"), F.col("n_wanted")))
+
+
+def f1_column(agree: Column, found: Column, wanted: Column) -> Column:
+    precision, recall = agree / found, agree / wanted
+    return F.when((found == 0) & (wanted == 0), F.lit(1.0)).when(agree == 0, F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))

@@ -2,44 +2,35 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from functools import lru_cache
+from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import variant as V
+from ..plans import native
 from ..plans.program import parse
-from ..plans.records import RowError, compiled
+from .score import with_facts
 
 
-@lru_cache(maxsize=4096)
-def _runner(program: str):
+def _facts(text: str) -> dict[str, Any]:
     try:
-        return compiled(parse(program)), None
+        return {"plan": native.plan(parse(text))}
     except (ValueError, RecursionError) as e:
-        return None, str(e)
+        return {"fault": str(e)}
 
 
 def transform_rows(df: DataFrame, program: str = "program", record: str = "record", target: str = "target", error: str = "error") -> DataFrame:
-    """``df`` and the target of each row's program as JSON text (keys sorted),
-    null with the reason in ``error`` where the program or the record fails."""
-    at = [df.columns.index(program), df.columns.index(record)]
-    names = [*df.columns, target, error]
-
-    def one(text: str | None, row: str | None) -> tuple[str | None, str | None]:
-        run, wrong = _runner(text or "")
-        if run is None:
-            return None, wrong
-        try:
-            return json.dumps(run(json.loads(row or "null")), sort_keys=True), None
-        except (RowError, ValueError) as e:
-            return None, str(e)
-
-    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [one(p, r) for p, r in zip(*(batch.column(k).to_pylist() for k in at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string())], names)
-
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{target}` string, `{error}` string"
-    return df.mapInArrow(run_batches, schema)
+    """``df`` and the target of each row's program as JSON text (names in order),
+    null with the reason in ``error`` where the program or the record fails.
+
+    Distinct program texts are parsed in Python, once each; records are read and
+    targets made by expressions.  ``df`` is read twice."""
+    facts, plan, records, outcomes = (native.spare_name(df, n) for n in ("facts", "plan", "records", "outcomes"))
+    col = lambda n: F.col(f"`{n}`")
+    made = with_facts(df, [F.coalesce(col(program), F.lit(""))], _facts, f"fault:string,plan:{native.PLAN}", facts)
+    made = made.withColumn(plan, col(facts)["plan"]).withColumn(records, F.when(col(plan).isNotNull(), F.array(F.try_parse_json(F.coalesce(col(record), F.lit("null"))))))
+    made = native.run(made, plan, records, outcomes)
+    found = F.get(col(outcomes), F.lit(0))
+    made = made.withColumns({target: V.spaced_json(found["target"]), error: F.coalesce(col(facts)["fault"], found["error"])})
+    return made.select(*df.columns, target, error)

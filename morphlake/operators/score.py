@@ -1,8 +1,10 @@
 """Scoring completions: parse, check, run on hidden cases, compare, reward.
 
-Programs and schemas differ from row to row, so each row is scored in an Arrow
-batch function; programs, schemas and their checks are remembered by their
-text.  Aggregates over scores are ordinary columns.
+Programs and schemas differ from row to row.  Python sees each distinct triple
+of program, source schema and target schema once, and makes data of it: the
+class of what is wrong with it, or the steps and rules that fixed expressions
+follow (``plans.native``, ``plans.conform``).  Running the cases, checking
+targets, comparing and rewarding are columns; cases never leave the JVM.
 """
 
 from __future__ import annotations
@@ -13,38 +15,27 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import variant as V
+from ..plans import conform, native
 from ..plans.analyze import check
 from ..plans.program import Program, parse
 from ..plans.records import RowError, compiled
 from ..plans.schema import SchemaError, first_breach
-from .compare import equal, field_f1, leaf_counts
+from ..sources.stage import stored
+from .compare import TOLERANCE, equal, f1_column, field_f1, leaf_counts
 
 MODES = ("binary", "dense")
 #: Shares of the dense reward.
 PARSED, VALID, SCHEMA, EXACT, FIELDS = 0.10, 0.10, 0.20, 0.45, 0.15
 
-SCORE = """reward double, components map<string,double>, failure_type string, detail string,
- program string, cases array<struct<index:int,passed:boolean,schema_pass:boolean,field_f1:double,
- n_agree:int,n_found:int,n_wanted:int,predicted:string,error:string>>"""
-_CASE = pa.struct(
-    [("index", pa.int32()), ("passed", pa.bool_()), ("schema_pass", pa.bool_()), ("field_f1", pa.float64())]
-    + [(n, pa.int32()) for n in ("n_agree", "n_found", "n_wanted")]
-    + [("predicted", pa.string()), ("error", pa.string())]
-)
-_ARROW = [
-    ("reward", pa.float64()),
-    ("components", pa.map_(pa.string(), pa.float64())),
-    ("failure_type", pa.string()),
-    ("detail", pa.string()),
-    ("program", pa.string()),
-    ("cases", pa.list_(_CASE)),
-]
+_CASE = "struct<index:int,passed:boolean,schema_pass:boolean,field_f1:double,n_agree:int,n_found:int,n_wanted:int,predicted:string,error:string>"
+SCORE = f"reward double, components map<string,double>, failure_type string, detail string, program string, cases array<{_CASE}>"
 
 
 @dataclass
@@ -110,41 +101,147 @@ def score(completion: str | dict[str, Any], source_schema: Any, target_schema: A
     results, failures = [c for c, _ in done], [f for _, f in done if f]
     n = max(1, len(results))
     exact, conform, fields = (sum(c[k] for c in results) / n for k in ("passed", "schema_pass", "field_f1"))
-    if dense:
-        reward = min(1.0, max(0.0, PARSED + VALID + SCHEMA * conform + EXACT * exact + FIELDS * fields))
-    else:
+    if not dense:
         reward = float(bool(results) and all(c["passed"] for c in results))
-    components = {"parse_schema": PARSED, "reference_validity": VALID, "target_schema": SCHEMA * conform, "exact": EXACT * exact, "field_f1": FIELDS * fields}
-    return Score(reward, components, failures[0] if failures else None, None, payload, results)
+        return Score(reward, {"all_hidden_cases": reward}, failures[0] if failures else None, None, payload, results)
+    components = {"parse_schema": PARSED, "reference_validity": VALID, "target_schema": SCHEMA * conform, "hidden_exact": EXACT * exact, "field_f1": FIELDS * fields}
+    return Score(min(1.0, max(0.0, sum(components.values()))), components, failures[0] if failures else None, None, payload, results)
+
+
+# -- tables ----------------------------------------------------------------
+
+_FACTS = f"failure_type:string,detail:string,program:string,plan:{native.PLAN},rules:{conform.RULES}"
+
+
+def facts(completion: str, source_schema: str, target_schema: str) -> dict[str, Any]:
+    """What is known of a completion before it runs: its failure, or how to run it."""
+    program = _parsed(completion)
+    if isinstance(program, json.JSONDecodeError):
+        return {"failure_type": "json_parse_error", "detail": str(program)}
+    if isinstance(program, Exception):
+        return {"failure_type": "dsl_schema_error", "detail": str(program)}
+    shown = json.dumps(json.loads(completion), sort_keys=True)
+    source, target = _schema(source_schema), _schema(target_schema)
+    fault = check(program, source, target)
+    if fault is not None:
+        return {"failure_type": fault.failure, "detail": f"invalid {fault.kind} path: {fault.path}", "program": shown}
+    return {"program": shown, "plan": native.plan(program), "rules": conform.rules(target)}
+
+
+def known(texts: DataFrame, make, fields: str) -> DataFrame:
+    """``texts`` (distinct rows of strings, the first a key) and a struct ``facts``
+    of what ``make`` says of the others."""
+    kind = T._parse_datatype_string(f"struct<{fields}>")
+    schema = T.StructType([texts.schema[0], T.StructField("facts", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema).field("facts").type
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(1, batch.num_columns)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([native.arrow_ready(make(*row), kind) for row in rows], arrow)], ["key", "facts"])
+
+    return texts.mapInArrow(run, schema)
+
+
+def with_facts(df: DataFrame, texts: list[Column], make, fields: str, name: str) -> DataFrame:
+    """``df`` and ``name``: what ``make`` says of its texts.  Python gets distinct
+    texts only.  What it says is written once, so that its size is known when the
+    join is planned: rows stay where they are if it is small enough to broadcast,
+    and meet it by digest if it is not."""
+    key = native.spare_name(df, "digest")
+    digest = F.sha2(F.to_json(F.array(*texts)), 256)
+    distinct = df.select(digest.alias("key"), *(t.alias(f"text{k}") for k, t in enumerate(texts))).distinct()
+    told = stored(known(distinct, make, fields), "facts").select(F.col("key").alias(key), F.col("facts").alias(name))
+    return df.withColumn(key, digest).join(told, key).drop(key)
+
+
+def _judged(found: Column, rules: Column) -> Column:
+    """Of one case: nodes of both sides and the first breach."""
+    made = found["target"]
+    return F.struct(
+        found["error"].alias("error"),
+        made.alias("made"),
+        V.nodes(found["expected"]).alias("wanted"),
+        F.when(made.isNotNull(), V.nodes(made)).alias("got"),
+        F.when(made.isNotNull(), conform.breach(made, rules)).alias("breach"),
+    )
+
+
+def _counted(c: Column) -> Column:
+    fine = c["made"].isNotNull() & c["breach"]["what"].isNull() & c["breach"]["unsupported"].isNull()
+    wanted, got = V.leaves(c["wanted"]), F.when(fine, V.leaves(c["got"]))
+    message = F.coalesce(c["error"], c["breach"]["unsupported"], F.concat(F.lit("target schema error at "), c["breach"]["path"], F.lit(": "), c["breach"]["what"]))
+    return F.struct(
+        message.alias("error"),
+        (message.isNotNull() & c["error"].isNull() & c["breach"]["unsupported"].isNull()).alias("unfit"),
+        F.when(fine, V.nodes_equal(c["got"], c["wanted"], TOLERANCE)).otherwise(F.lit(False)).alias("passed"),
+        F.when(fine, V.agreeing(got, wanted, TOLERANCE)).otherwise(F.lit(0)).alias("n_agree"),
+        F.coalesce(F.when(fine, F.size(got)), F.lit(0)).alias("n_found"),
+        F.size(wanted).alias("n_wanted"),
+        F.when(fine, V.spaced_json(c["made"])).alias("predicted"),
+    )
+
+
+def _result(c: Column, index: Column) -> Column:
+    agree, found, wanted = (c[n].cast("double") for n in ("n_agree", "n_found", "n_wanted"))
+    f1 = F.when(c["error"].isNotNull(), F.lit(0.0)).otherwise(f1_column(agree, found, wanted))
+    return F.struct(index.cast("int").alias("index"), c["passed"].alias("passed"), c["error"].isNull().alias("schema_pass"), f1.alias("field_f1"), *(c[n].alias(n) for n in ("n_agree", "n_found", "n_wanted")), c["predicted"].alias("predicted"), c["error"].alias("error")).cast(_CASE)
 
 
 def score_table(df: DataFrame, mode: str = "dense", completion: str = "completion", source_schema: str = "source_schema", target_schema: str = "target_schema", cases: str = "hidden_tests") -> DataFrame:
     """``df`` and the fields of ``SCORE``.  Schemas are JSON texts; ``cases`` is
-    the JSON text of a list of ``{"input", "expected"}``.  A null completion is
-    not JSON; null schemas are open, null cases none."""
+    the JSON text of a list of ``{"input", "expected"}``.  A null or empty completion
+    is not JSON; null or empty schemas are open, null or empty cases none.  The
+    first failing stage, and of the cases the first that fails, names the failure.
+
+    ``df`` is read twice, first for its distinct texts; store it where it is dear
+    to make."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    at = [df.columns.index(c) for c in (completion, source_schema, target_schema, cases)]
-    names = [*df.columns, *(n for n, _ in _ARROW)]
+    text = lambda c, default: F.when(F.col(f"`{c}`") == "", F.lit(default)).otherwise(F.coalesce(F.col(f"`{c}`"), F.lit(default)))
+    names = {n: native.spare_name(df, n) for n in ("facts", "plan", "pairs", "inputs", "outcomes", "judged")}
+    known_, plan, pairs, inputs, outcomes, judged = names.values()
+    col = lambda n: F.col(f"`{n}`")
+    made = with_facts(df, [text(completion, ""), text(source_schema, "{}"), text(target_schema, "{}")], facts, _FACTS, known_)
+    side = lambda name: lambda c: V.get(c, f"$['{name}']")
+    made = made.withColumn(plan, col(known_)["plan"]).withColumn(pairs, F.when(col(plan).isNotNull(), V.items(F.parse_json(text(cases, "[]")))))
+    made = made.withColumn(inputs, F.transform(col(pairs), side("input")))
+    made = native.run(made, plan, inputs, outcomes)
+    both = F.zip_with(col(outcomes), F.transform(col(pairs), side("expected")), lambda o, e: o.withField("expected", e))
+    made = made.withColumn(judged, F.transform(both, lambda c: _judged(c, col(known_)["rules"]))).withColumn(judged, F.transform(col(judged), _counted))
+    results = F.coalesce(F.transform(col(judged), _result), F.array().cast(f"array<{_CASE}>"))
+    failed = F.transform(col(judged), lambda c: F.when(c["unfit"], F.lit("target_schema_error")).when(c["error"].isNotNull(), F.lit("runtime_error")).when(~c["passed"], F.lit("partial_value_mismatch")))
+    failure = F.coalesce(col(known_)["failure_type"], F.get(F.filter(failed, lambda f: f.isNotNull()), F.lit(0)))
+    made = made.withColumns({"cases": results, "failure_type": failure, "detail": col(known_)["detail"], "program": col(known_)["program"], outcomes: col(known_)["failure_type"]})
+    return _rewarded(made, mode, col(outcomes)).select(*df.columns, "reward", "components", "failure_type", "detail", "program", "cases")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in at))
-            scores = [score(c or "", s or "{}", t or "{}", json.loads(h or "[]"), mode) for c, s, t, h in rows]
-            made = [
-                pa.array([list(x.components.items()) if n == "components" else json.dumps(x.program, sort_keys=True) if n == "program" and x.program is not None else getattr(x, n) for x in scores], kind)
-                for n, kind in _ARROW
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
 
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {SCORE}"
-    return df.mapInArrow(run, schema)
+def _rewarded(df: DataFrame, mode: str, before: Column) -> DataFrame:
+    """``reward`` and ``components``.  before: the class of a failure before any
+    case was run."""
+    n = F.greatest(F.size("cases"), F.lit(1))
+    rate = lambda value: F.aggregate("cases", F.lit(0.0), lambda s, c: s + value(c)) / n
+    flag = lambda name: lambda c: F.when(c[name], 1.0).otherwise(0.0)
+    parts = lambda **shares: F.create_map(*(x for name, share in shares.items() for x in (F.lit(name), share)))
+    early = (
+        F.when(before == "json_parse_error", F.create_map().cast("map<string,double>"))
+        .when(before == "dsl_schema_error", parts(parse_schema=F.lit(PARSED)))
+        .when(before.isNotNull(), parts(parse_schema=F.lit(PARSED), reference_validity=F.lit(0.0)))
+    )
+    if mode == "binary":
+        reward = F.when(before.isNull() & (F.size("cases") > 0) & F.forall("cases", lambda c: c["passed"]), F.lit(1.0)).otherwise(F.lit(0.0))
+        return df.withColumns({"reward": reward, "components": F.coalesce(early, parts(all_hidden_cases=reward))})
+    shares = {"target_schema": F.lit(SCHEMA) * rate(flag("schema_pass")), "hidden_exact": F.lit(EXACT) * rate(flag("passed")), "field_f1": F.lit(FIELDS) * rate(lambda c: c["field_f1"])}
+    total = F.lit(PARSED + VALID) + shares["target_schema"] + shares["hidden_exact"] + shares["field_f1"]
+    reward = F.when(before == "json_parse_error", F.lit(0.0)).when(before.isNotNull(), F.lit(PARSED)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
+    return df.withColumns({"reward": reward, "components": F.coalesce(early, parts(parse_schema=F.lit(PARSED), reference_validity=F.lit(VALID), **shares))})
 
 
-@F.pandas_udf(T.LongType())
-def gold_leaves(cases: pd.Series) -> pd.Series:
+def gold_leaves(cases: Column | str) -> Column:
     """Leaves of all expected targets in the JSON text of a list of cases."""
-    return cases.map(lambda text: sum(leaf_counts(None, c["expected"])[2] for c in json.loads(text or "[]")))
+    text = F.col(cases) if isinstance(cases, str) else cases
+    found = V.items(F.parse_json(F.when(text == "", F.lit("[]")).otherwise(F.coalesce(text, F.lit("[]")))))
+    return F.aggregate(found, F.lit(0).cast("long"), lambda n, c: n + F.size(V.leaves(V.nodes(V.get(c, "$['expected']")))))
 
 
 def rewards(df: DataFrame, mode: str = "dense", **columns: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import dataset, metrics, report, score
+from .sources.stage import stored
 
 _OBJECT = {"type": "object", "additionalProperties": False}
 SOURCE = json.dumps(_OBJECT | {"properties": {"id": {"type": "integer"}, "price": {"type": "integer"}, "status": {"type": "string"}}, "required": ["id", "price", "status"]})
@@ -62,9 +63,9 @@ def _scored(spark: SparkSession, d: str, mode: str = "dense") -> DataFrame:
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
-    """Rows as an evaluation keeps them."""
+    """Rows as an evaluation keeps them: written once, read by every metric."""
     exact = (F.size("cases") > 0) & F.forall("cases", lambda c: c["passed"])
-    return _scored(spark, d).withColumns(
+    made = _scored(spark, d).withColumns(
         {
             "failure_type": metrics.final_failure(F.col("failure_type"), F.col("finish_reason"), exact),
             "n_hidden": F.coalesce(F.json_array_length("hidden_tests"), F.lit(0)),
@@ -72,6 +73,7 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
             "is_json": F.try_parse_json("completion").isNotNull() & F.ltrim("completion").startswith("{"),
         }
     )
+    return stored(made, "rows")
 
 
 _KIND = "(o_orderkey % 8)"
