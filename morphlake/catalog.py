@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import json_queries, scored_queries
+from . import json_queries, scored_queries, table_queries
 from .operators import compare, dataset, dynamic, metrics, report
 from .operators.patterns import PATTERNS
 from .operators.transform import transform
 from .plans.schema import conforms
+from .sources.stage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -597,8 +598,10 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions of differing quality for the rows of the ``grpo`` split."""
     from .operators.score import score_table
 
-    rows = dataset.split(dataset.placed(dataset.generate(spark)), "grpo")
-    hidden = dataset.hidden_cases(rows, "grpo")
+    # places come from arithmetic on indexes, so only the split is generated, once
+    indexes = dataset.split(dataset.placed(dataset.index_table(spark)), "grpo").select("global_index")
+    rows = stored(dataset.generate_at(indexes), "grpo")
+    hidden = stored(dataset.hidden_cases(rows, "grpo"), "hidden")
     bad = F.when(F.col("global_index") % 6 == 1, F.lit("{")).when(F.col("global_index") % 6 == 2, F.lit('{"steps":[{"op":"python"}]}')).when(
         F.col("global_index") % 6 == 3, F.replace("reference_program", F.lit('"from": "s'), F.lit('"from": "t'))
     )
@@ -608,7 +611,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("score_classes", _scored, None)
 
-for _module in (scored_queries, json_queries):
+for _module in (scored_queries, json_queries, table_queries):
     for _name, _query in _module.QUERIES.items():
         _add(_name, _query, _module.ORACLE_SQL.get(_name))
 _add(

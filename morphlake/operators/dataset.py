@@ -15,15 +15,19 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import variant as V
+from ..plans import conform, native
 from ..plans.analyze import check
 from ..plans.program import parse
 from ..plans.records import compiled
-from ..plans.schema import first_breach, infer, infer_one
-from .compare import equal
+from ..plans.schema import infer, infer_one
+from ..sources.stage import stored
+from . import score
+from .compare import TOLERANCE, equal
 from .instructions import family_of, instruction, prompt
 from .patterns import CANDIDATES, PARTITIONS, PATTERNS, filled, prefixed
 
@@ -168,20 +172,24 @@ CANDIDATE = """sample_id string, global_index long, partition string, source_sch
  graph_fingerprint string, instruction_template_family string, seed long, path_prefix string, generator_spec string, validation_cases string"""
 
 
-def generate(spark: SparkSession, n: int = CANDIDATES, base_seed: int = SEED, partitions: int | None = None) -> DataFrame:
-    """All candidates below index n."""
-    arrow = to_arrow_schema(spark.createDataFrame([], CANDIDATE).schema)
+def generate_at(indexes: DataFrame, base_seed: int = SEED) -> DataFrame:
+    """The candidates of these indexes (one column of longs)."""
+    arrow = to_arrow_schema(indexes.sparkSession.createDataFrame([], CANDIDATE).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [candidate(i, base_seed) for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            yield pa.RecordBatch.from_pylist([candidate(i, base_seed) for i in batch.column(0).to_pylist()], schema=arrow)
+
+    return indexes.mapInArrow(run, CANDIDATE)
+
 
+def generate(spark: SparkSession, n: int = CANDIDATES, base_seed: int = SEED, partitions: int | None = None) -> DataFrame:
+    """All candidates below index n."""
     if partitions is None:
-        return spark.range(n).mapInArrow(run, CANDIDATE)
+        return generate_at(spark.range(n), base_seed)
     # task k of m makes its own indexes k, k + m, ...: shards by stride without a shuffle
     firsts = spark.range(0, partitions, 1, partitions).where(F.col("id") < n)
-    return firsts.select(F.explode(F.sequence("id", F.lit(n - 1), F.lit(partitions))).alias("id")).mapInArrow(run, CANDIDATE)
+    return generate_at(firsts.select(F.explode(F.sequence("id", F.lit(n - 1), F.lit(partitions))).alias("id")), base_seed)
 
 
 EXAMPLE = "sample_id string, source_schema string, target_schema string, instruction string, visible_examples string, reference_program string, hidden_tests string"
@@ -224,40 +232,65 @@ def hidden_cases(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("sample_id", "reference_program", "graph_signature", "path_prefix", "seed").mapInArrow(run, "sample_id string, hidden_tests string")
 
 
+def _fault_facts(program: str, source_schema: str, target_schema: str) -> dict[str, Any]:
+    return {"plan": native.plan(parse(program)), "source": conform.rules(json.loads(source_schema)), "target": conform.rules(json.loads(target_schema))}
+
+
 def faults(rows: DataFrame, cases: str = "validation_cases") -> DataFrame:
     """``sample_id, fault``: rows whose program does not give what its cases
-    expect, or whose cases break the schemas."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = [], []
-            for sample, program, source, target, text in zip(*(c.to_pylist() for c in batch.columns)):
-                made, source, target = compiled(parse(program)), json.loads(source), json.loads(target)
-                for case in json.loads(text):
-                    wrong = first_breach(case["input"], source) or first_breach(case["expected"], target)
-                    if wrong is None and not equal(made(case["input"]), case["expected"]):
-                        wrong = "the program gives another result"
-                    if wrong:
-                        ids.append(sample)
-                        out.append(wrong)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], ["sample_id", "fault"])
-
-    return rows.select("sample_id", "reference_program", "source_schema", "target_schema", cases).mapInArrow(run, "sample_id string, fault string")
+    expect, or whose cases break the schemas; of several faults that of the first
+    case.  Distinct programs and schemas become data, cases are run by
+    expressions.  A row without cases has no fault."""
+    fields = f"plan:{native.PLAN},source:{conform.RULES},target:{conform.RULES}"
+    given = rows.select("sample_id", "reference_program", "source_schema", "target_schema", F.col(cases).alias("cases"))
+    made = score.with_facts(given, [F.col(c) for c in ("reference_program", "source_schema", "target_schema")], _fault_facts, fields, "facts")
+    made = made.select("sample_id", F.col("facts.plan").alias("plan"), "facts.source", "facts.target", V.items(F.parse_json(F.coalesce("cases", F.lit("[]")))).alias("pairs"))
+    made = made.withColumns({"inputs": F.transform("pairs", lambda c: V.get(c, "$['input']")), "wanted": F.transform("pairs", lambda c: V.get(c, "$['expected']"))})
+    made = native.run(made, "plan", "inputs", "outcomes")
+    broken = lambda v, rules: V.let(conform.breach(v, rules), lambda b: F.coalesce(b["unsupported"], F.concat(b["path"], F.lit(": "), b["what"])))
+    differs = lambda o, wanted: F.when(o["error"].isNotNull(), F.concat(F.lit("the program fails: "), o["error"])).when(
+        ~V.nodes_equal(V.nodes(o["target"]), V.nodes(wanted), TOLERANCE), F.lit("the program gives another result")
+    )
+    fault = lambda x: F.coalesce(broken(x["inputs"], F.col("source")), broken(x["wanted"], F.col("target")), differs(x["outcomes"], x["wanted"]))
+    found = F.filter(F.transform(F.arrays_zip("inputs", "wanted", "outcomes"), fault), lambda f: f.isNotNull())
+    # not a filter, which the optimizer would move below all stages and so run them twice
+    return made.select("sample_id", F.explode(F.slice(found, 1, 1)).alias("fault"))
 
 
 # -- splits ----------------------------------------------------------------
 
 
-def placed(df: DataFrame, partition: str = "partition", index: str = "global_index") -> DataFrame:
-    """``df`` and ``place``, the row's number within its partition from 0.
+def numbered(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """``df`` in total order with ``place``, each row's number from 0.
+
+    Rows are dealt to tasks by ranges of the order and sorted there; a row's
+    number is its number in the range and the rows of all ranges before, which
+    are sums of as many counts as there are ranges.  The dealt rows are written
+    once, so places stay what they are.  Equal rows go by where they come from,
+    so that ranges can cut through any number of them."""
+    spark = df.sparkSession
+    tie, at = native.spare_name(df, "tie"), native.spare_name(df, "at")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n, *order, F.col(tie)).sortWithinPartitions(*order, F.col(tie))
+    dealt = stored(dealt.drop(tie).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    range_of, within = F.shiftrightunsigned(F.col(at), 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r["range"], r["count"]) for r in dealt.groupBy(range_of.alias("range")).count().collect())  # a row a range
+    starts, before = [], 0
+    for k, size in sizes:
+        starts += [F.lit(k), F.lit(before)]
+        before += size
+    start = F.try_element_at(F.create_map(*starts), range_of) if starts else F.lit(None)
+    return dealt.withColumn(place, (start + within).cast("long")).drop(at)
 
-    Indexes of a partition have no gaps, so the place is the distance from the
-    smallest; nothing is sorted, however large a partition is.
-    """
-    firsts = df.groupBy(F.col(partition).alias("_partition")).agg(F.min(index).alias("_first"))
-    joined = df.join(F.broadcast(firsts), F.col(partition) == F.col("_partition"))
-    return joined.withColumn("place", F.col(index) - F.col("_first")).drop("_partition", "_first")
+
+def placed(df: DataFrame, partition: str = "partition", index: str = "global_index") -> DataFrame:
+    """``df`` and ``place``, the row's number within its partition from 0, in the
+    order of the index; indexes may have gaps and repeat."""
+    whole, name, first = (native.spare_name(df, n) for n in ("whole", "of", "first"))
+    at = numbered(df, [F.col(partition), F.col(index)], whole)
+    firsts = at.groupBy(F.col(partition).alias(name)).agg(F.min(whole).alias(first))
+    joined = at.join(firsts, F.col(partition).eqNullSafe(F.col(name)))
+    return joined.withColumn("place", F.col(whole) - F.col(first)).drop(whole, name, first)
 
 
 def split(df: DataFrame, name: str) -> DataFrame:
@@ -307,22 +340,37 @@ def overlap(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return a.select(column).distinct().join(b.select(column).distinct(), column, "left_semi").agg(F.count(F.lit(1)).alias("overlap"))
 
 
+def overlaps(df: DataFrame, checks: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """``check, overlap``: for each check (is a row on the one side, on the other,
+    its value) how many distinct values both sides have; nulls count as none.
+
+    All checks share one exchange: a row brings one bit for each side it is on,
+    bits of a value are joined in each task and again where the value meets, and
+    values with both bits are counted.  A value that many rows have is one row a task."""
+    side = lambda a, b: F.when(F.coalesce(a, F.lit(False)), 1).otherwise(0) + F.when(F.coalesce(b, F.lit(False)), 2).otherwise(0)
+    marks = F.array(*(F.struct(F.lit(name).alias("check"), value.cast("string").alias("value"), side(a, b).alias("side")) for name, (a, b, value) in checks.items()))
+    bits = df.select(F.inline(marks)).where("side > 0 and value is not null").groupBy("check", "value").agg(F.bit_or("side").alias("side"))
+    counted = bits.groupBy("check").agg(F.count_if(F.col("side") == 3).alias("overlap"))
+    every = df.sparkSession.createDataFrame([(name,) for name in checks], "check string")
+    return every.join(counted, "check", "left").select("check", F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))
+
+
+TESTS = ("test_iid", "test_linguistic_ood", "test_compositional_ood", "test_structural_ood")
+
+
 def leakage(splits: DataFrame) -> DataFrame:
     """One row for each way in which training rows could leak into tests."""
-    of = lambda *names: splits.where(F.col("split").isin(*names))
+    of = lambda *names: F.col("split").isin(*names)
     train = of("sft_6k", "grpo")
-    tests = of("test_iid", "test_linguistic_ood", "test_compositional_ood", "test_structural_ood")
-    ways = (
-        ("sample_id_overlap_train_test", tests, "sample_id"),
-        ("graph_fingerprint_overlap_train_test", tests, "graph_fingerprint"),
-        ("compositional_signature_overlap_train", of("test_compositional_ood"), "graph_signature"),
-        ("linguistic_template_overlap_train", of("test_linguistic_ood"), "instruction_template_family"),
+    return overlaps(
+        splits,
+        {
+            "sample_id_overlap_train_test": (train, of(*TESTS), F.col("sample_id")),
+            "graph_fingerprint_overlap_train_test": (train, of(*TESTS), F.col("graph_fingerprint")),
+            "compositional_signature_overlap_train": (train, of("test_compositional_ood"), F.col("graph_signature")),
+            "linguistic_template_overlap_train": (train, of("test_linguistic_ood"), F.col("instruction_template_family")),
+        },
     )
-    out = None
-    for name, other, column in ways:
-        row = overlap(train, other, column).select(F.lit(name).alias("check"), "overlap")
-        out = row if out is None else out.unionByName(row)
-    return out
 
 
 def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -347,24 +395,17 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def quality(df: DataFrame) -> DataFrame:
-    """``measure, value, count`` over candidates or ``index_table`` rows."""
+    """``measure, value, count`` over candidates or ``index_table`` rows, in one
+    pass; flags count rows that have them, zeros included."""
     level = F.col("difficulty.level") if "difficulty" in df.columns else F.col("level")
     flag = (lambda n: F.col(f"difficulty.{n}")) if "difficulty" in df.columns else F.col
-    by = {"partition": F.col("partition"), "pattern": F.col("graph_signature"), "level": level.cast("string")}
-    counted = [df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count")).select(F.lit(m).alias("measure"), "value", "count") for m, c in by.items()]
-    flags = df.agg(*(F.count_if(flag(n)).alias(n) for n in ("has_array", "has_null", "has_condition")))
-    counted.append(flags.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.lit("true").alias("value"), F.col(n).alias("count")) for n in flags.columns))).alias("x")).select("x.*"))
-    out = counted[0]
-    for more in counted[1:]:
-        out = out.unionByName(more)
-    return out
+    measure = lambda name, value, n=1: F.struct(F.lit(name).alias("measure"), value.alias("value"), F.lit(n).cast("long").alias("n") if isinstance(n, int) else n.cast("long").alias("n"))
+    named = [measure("partition", F.col("partition")), measure("pattern", F.col("graph_signature")), measure("level", level.cast("string"))]
+    named += [measure(n, F.lit("true"), F.when(flag(n), 1).otherwise(0)) for n in ("has_array", "has_null", "has_condition")]
+    return df.select(F.inline(F.array(*named))).groupBy("measure", "value").agg(F.sum("n").alias("count"))
 
 
 def longest(df: DataFrame, key: str, length: Column, order: Column) -> DataFrame:
     """One row: the longest of all rows, the first of equals."""
     return df.agg(F.max_by(F.struct(key, length.alias("length")), F.struct(length, -order)).alias("x")).select("x.*")
 
-
-def numbered(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """``place`` from 0 within small groups, by an order."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)

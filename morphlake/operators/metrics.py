@@ -5,27 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import stored
+
+
+#: Bits of a value that one pass of ``percentile_table`` settles.
+DIGIT = 16
+
+
+def ordered_bits(x: Column) -> Column:
+    """A long that orders as the double does: its bits, turned round for negative
+    ones.  Zeros are one; NaN is the largest."""
+    shown = F.format_string("%a", F.abs(x) + F.lit(0.0))
+    exponent = F.regexp_extract(shown, r"p(-?\d+)$", 1).cast("long")
+    mantissa = F.conv(F.rpad(F.regexp_extract(shown, r"\.([0-9a-f]+)p", 1), 13, "0"), 16, 10).cast("long")
+    normal = F.when(shown.startswith("0x1"), (exponent + 1023) * F.lit(1 << 52) + mantissa).otherwise(mantissa)
+    size = F.when(F.isnan(x), F.lit((1 << 63) - 1)).when(F.abs(x) == float("inf"), F.lit(2047 << 52)).otherwise(normal)
+    return F.when(x < 0, -size).otherwise(size)
+
 
 def percentile_table(df: DataFrame, keys: list[str], column: str, ps: dict[str, float]) -> DataFrame:
     """For each of ``ps`` (column name: p) the value at rank ``round((n - 1) * p)``
-    of the group's sorted values, halves to even.
-
-    Works for groups of any size: values are counted, the counts summed along
-    their order in pieces, and each rank looked up.  No task holds a group: the
-    running sum goes over piece totals, then within pieces."""
-    spark_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    # pieces are ranges of values, so that one group spreads over all tasks
-    bounds = [b for b in counted.approxQuantile("v", [k / spark_n for k in range(1, spark_n)], 0.01)] if spark_n > 1 else []
-    piece = sum((F.when(F.col("v") > b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
-    pieces = counted.withColumn("piece", piece)
-    totals = pieces.groupBy(*keys, "piece").agg(F.sum("n").alias("m"))
-    over = Window.partitionBy(*keys).orderBy("piece")
-    ahead = totals.select(*keys, "piece", (F.sum("m").over(over) - F.col("m")).alias("ahead"), F.sum("m").over(Window.partitionBy(*keys)).alias("total"))
-    placed = pieces.join(ahead, [*keys, "piece"]).withColumn("upto", F.col("ahead") + F.sum("n").over(Window.partitionBy(*keys, "piece").orderBy("v")))
-    wanted = {name: F.least(F.greatest(F.bround((F.col("total") - 1) * F.lit(p), 0).cast("long"), F.lit(0)), F.col("total") - 1) for name, p in ps.items()}
-    hit = [F.max(F.when((F.col("upto") - F.col("n") <= at) & (at < F.col("upto")), F.col("v"))).alias(name) for name, at in wanted.items()]
-    return placed.groupBy(*keys).agg(*hit)
+    of the group's sorted values, halves to even; nulls are no values.
+
+    Radix selection, all groups and ranks at once.  Values are written once with
+    bits that order as they do, so ``df`` is read once, and no value is shuffled.
+    Each of four passes counts the next 16 bits of the values that share those
+    settled so far (at most 65,536 counts for a group and rank, added up in tasks
+    first) and settles the bits in which the rank falls."""
+    names = [f"k{i}" for i in range(len(keys))]
+    value = F.col(column).cast("double")
+    kept = stored(df.where(F.col(column).isNotNull()).select(*(F.col(k).alias(n) for k, n in zip(keys, names)), value.alias("v"), ordered_bits(value).alias("bits")), "values")
+    sizes = kept.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    last = F.col("n") - 1
+    rank = lambda p: F.least(F.greatest(F.bround(last * F.lit(p), 0).cast("long"), F.lit(0)), last)
+    wanted = sizes.select(*names, F.inline(F.array(*(F.struct(F.lit(name).alias("name"), rank(p).alias("rank")) for name, p in ps.items()))))
+    state = wanted.withColumn("prefix", F.lit(0).cast("long"))
+    # the sign's bit is turned, so that digits of negative values come first
+    turned = F.col("bits").bitwiseXOR(F.lit(-(1 << 63)))
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        digit = F.shiftrightunsigned(turned, shift).bitwiseAND(F.lit((1 << DIGIT) - 1))
+        above = F.shiftrightunsigned(turned, shift + DIGIT) if shift + DIGIT < 64 else F.lit(0).cast("long")
+        rows = kept.select(*(F.col(n).alias(f"_{n}") for n in names), above.alias("above"), digit.alias("digit"), "v")
+        same = F.col("above") == F.col("prefix")
+        for n in names:
+            same = same & F.col(n).eqNullSafe(F.col(f"_{n}"))
+        counts = rows.join(state, same).groupBy(*names, "name", "rank", "prefix", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+        upto = F.sum("n").over(Window.partitionBy(*names, "name").orderBy("digit"))
+        hit = counts.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        settled = (F.shiftleft(F.col("prefix"), DIGIT) + F.col("digit")).alias("prefix")
+        state = hit.select(*names, "name", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), settled, *(["v"] if not shift else []))
+    picked = [F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ps]
+    return state.groupBy(*names).agg(*picked).select(*(F.col(n).alias(k) for k, n in zip(keys, names)), *ps)
 
 
 def share(flag: Column) -> Column:

@@ -149,7 +149,7 @@ def with_facts(df: DataFrame, texts: list[Column], make, fields: str, name: str)
     join is planned: rows stay where they are if it is small enough to broadcast,
     and meet it by digest if it is not."""
     key = native.spare_name(df, "digest")
-    digest = F.sha2(F.to_json(F.array(*texts)), 256)
+    digest = F.coalesce(F.sha2(F.to_json(F.array(*texts)), 256), F.lit(""))  # never null: no filter of nulls
     distinct = df.select(digest.alias("key"), *(t.alias(f"text{k}") for k, t in enumerate(texts))).distinct()
     told = stored(known(distinct, make, fields), "facts").select(F.col("key").alias(key), F.col("facts").alias(name))
     return df.withColumn(key, digest).join(told, key).drop(key)

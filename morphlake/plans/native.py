@@ -305,14 +305,19 @@ def _cast(v: Column, shown: Column, to: Column) -> Column:
 _TEXTUAL = ("map_enum", "format_date", "concat", "split", "cast")
 
 
-def _value(j: Column) -> Column:
+def _read(s: Column, record: Column) -> Column:
+    """Values of a step's sources, with their texts where it needs them."""
+    textual = s["op"].isin(*_TEXTUAL) & ((s["op"] != "cast") | (s["text"] == "string"))
+    return F.transform(s["paths"], lambda p: V.let(V.get(record, p), lambda v: F.struct(v.alias("v"), F.when(textual, V.text(v)).alias("t"))))
+
+
+def _value(s: Column, record: Column, read: Column, holds: Column) -> Column:
     """What a step with one result writes; null where it fails."""
-    s, record = j["s"], j["on"]
-    op, v, shown = s["op"], F.get(j["read"], F.lit(0))["v"], F.get(j["read"], F.lit(0))["t"]
-    solid = F.get(F.filter(j["read"], lambda x: x["v"].isNotNull() & ~F.is_variant_null(x["v"])), F.lit(0))["v"]
+    op, v, shown = s["op"], F.get(read, F.lit(0))["v"], F.get(read, F.lit(0))["t"]
+    solid = F.get(F.filter(read, lambda x: x["v"].isNotNull() & ~F.is_variant_null(x["v"])), F.lit(0))["v"]
     chosen = lambda path, literal: F.when(path.isNotNull(), V.get(record, path)).otherwise(F.parse_json(literal))
     item = lambda parts: F.get(parts, F.when(s["index"] >= 0, s["index"]).otherwise(F.size(parts) + s["index"])).cast("variant")
-    texts = F.transform(j["read"], lambda x: x["t"])
+    texts = F.transform(read, lambda x: x["t"])
     return (
         F.when(op == "copy", v)
         .when(op == "constant", F.parse_json(s["value"]))
@@ -324,7 +329,7 @@ def _value(j: Column) -> Column:
         .when(op == "format_date", V.let(X.read_date_by(shown, s["pattern"], s["groups"]), lambda d: X.write_date_by(d, s["pieces"]).cast("variant")))
         .when(op == "concat", F.when(~F.exists(texts, lambda t: t.isNull()), F.call_function("array_join", texts, s["text"]).cast("variant")))
         .when(op == "split", V.let(F.split(shown, s["text"], F.lit(-1)), item))
-        .when(op == "conditional", F.when(j["holds"], chosen(s["then_path"], s["value"])).when(~j["holds"], chosen(s["else_path"], s["other"])))
+        .when(op == "conditional", F.when(holds, chosen(s["then_path"], s["value"])).when(~holds, chosen(s["else_path"], s["other"])))
     )
 
 
@@ -401,29 +406,35 @@ def _gathered(s: Column, record: Column, done: Column) -> Column:
 
 
 @lru_cache(maxsize=64)
-def _stages(session: int, program: str, records: str, jobs: str, steps: str) -> list[tuple[str, Column]]:
+def _stages(session: int, program: str, records: str, jobs: str, tests: str, pairs: str, holds: str, values: str, out: str) -> list[tuple[str, Column]]:
     """Names and expressions of the projections; they depend on names only, and
-    are many small calls, so a session makes them once."""
-    plan, record_list, now = F.col(f"`{program}`"), F.col(f"`{records}`"), F.col(f"`{jobs}`")
-    op = lambda j: j["s"]["op"]
-    textual = lambda j: op(j).isin(*_TEXTUAL) & ((op(j) != "cast") | (j["s"]["text"] == "string"))
-    read = lambda j: F.transform(j["s"]["paths"], lambda p: V.let(V.get(j["on"], p), lambda v: F.struct(v.alias("v"), F.when(textual(j), V.text(v)).alias("t"))))
-    tested = lambda j: (op(j) == "conditional") & j["x"].isNotNull()
-    each = [
-        lambda j: j.withField("read", read(j)).withField("x", V.get(j["on"], j["s"]["test"]["path"])).withField("y", F.parse_json(j["s"]["test"]["value"])),
-        lambda j: j.withField("pairs", F.when(tested(j), compared(j["x"], j["y"], j["s"]["test"]["operator"]))),
-        lambda j: j.withField("holds", F.when(tested(j), predicate(j["x"], j["y"], j["s"]["test"]["operator"], j["pairs"]))),
-        lambda j: j.withField("value", _value(j)),
-        lambda j: V.let(_wrote(j["s"], j["on"], j["value"], j["holds"]), lambda w: F.struct(j["r"].alias("r"), j["k"].alias("k"), j["i"].alias("i"), w["w"].alias("w"), w["e"].alias("e"))),
-    ]
-    # bound by ``let``: the optimizer would move what makes ``jobs`` into the inner function
+    are many small calls, so a session makes them once.
+
+    Arrays beside ``jobs`` say what is known of each; they are zipped where they
+    meet, as ``transform`` copies all that its function returns."""
+    plan, record_list = F.col(f"`{program}`"), F.col(f"`{records}`")
+    col = lambda n: F.col(f"`{n}`")
+    zipped = lambda *names: F.arrays_zip(*(col(n).alias(short) for n, short in names))
+    j, t, p, h, v = (jobs, "j"), (tests, "t"), (pairs, "p"), (holds, "h"), (values, "v")
+    operator = lambda z: z["j"]["s"]["test"]["operator"]
+    asked = lambda z, what: F.when((z["j"]["s"]["op"] == "conditional") & z["t"]["x"].isNotNull(), what)
+    tested = lambda j: F.when(j["s"]["op"] == "conditional", F.struct(V.get(j["on"], j["s"]["test"]["path"]).alias("x"), F.parse_json(j["s"]["test"]["value"]).alias("y")))
+    valued = lambda z: V.let(_read(z["j"]["s"], z["j"]["on"]), lambda read: _value(z["j"]["s"], z["j"]["on"], read, z["h"]))
+    wrote = lambda z: V.let(
+        _wrote(z["j"]["s"], z["j"]["on"], z["v"], z["h"]), lambda w: F.struct(z["j"]["r"].alias("r"), z["j"]["k"].alias("k"), z["j"]["i"].alias("i"), w["w"].alias("w"), w["e"].alias("e"))
+    )
+    # bound by ``let``: the optimizer would move what makes them into the inner function
     gathered = lambda done: F.transform(record_list, lambda record, r: F.transform(plan["steps"], lambda s, k: _gathered(s, record, F.filter(done, lambda d: (d["r"] == r) & (d["k"] == k)))))
     failed = F.struct(V.none().alias("target"), F.lit("the record is not JSON").alias("error"))
     return [
         (jobs, F.flatten(F.transform(record_list, lambda record, r: _jobs(plan, record, r)))),
-        *((jobs, F.transform(now, stage)) for stage in each),
-        (steps, V.let(now, gathered)),
-        (jobs, F.transform(F.col(f"`{steps}`"), lambda d, r: F.when(F.get(record_list, r).isNull(), failed).otherwise(_outcome(d, plan["plain"])))),
+        (tests, F.transform(col(jobs), tested)),
+        (pairs, F.transform(zipped(j, t), lambda z: asked(z, compared(z["t"]["x"], z["t"]["y"], operator(z))))),
+        (holds, F.transform(zipped(j, t, p), lambda z: asked(z, predicate(z["t"]["x"], z["t"]["y"], operator(z), z["p"])))),
+        (values, F.transform(zipped(j, h), valued)),
+        (values, F.transform(zipped(j, h, v), wrote)),
+        (values, V.let(col(values), gathered)),
+        (out, F.transform(col(values), lambda d, r: F.when(F.get(record_list, r).isNull(), failed).otherwise(_outcome(d, plan["plain"])))),
     ]
 
 
@@ -434,7 +445,7 @@ def run(df: DataFrame, program: str, records: str, out: str) -> DataFrame:
     fails; a null record is no JSON; without a program there is no result.
 
     Each stage is a projection; together they are one pass over the rows."""
-    jobs, steps = (spare_name(df, n) for n in ("jobs", "written"))
-    for name, made in _stages(id(df.sparkSession.sparkContext), program, records, jobs, steps):
+    own = [spare_name(df, n) for n in ("jobs", "tests", "pairs_", "holds", "values_")]
+    for name, made in _stages(id(df.sparkSession.sparkContext), program, records, *own, out):
         df = df.withColumn(name, made)
-    return df.withColumnRenamed(jobs, out).drop(steps)
+    return df.drop(*own)

@@ -114,7 +114,7 @@ def _rescored(spark: SparkSession, d: str) -> DataFrame:
 
 def _planted(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of which one in 97 expects a field that its target does not have."""
-    rows = dataset.generate(spark)
+    rows = stored(dataset.generate(spark), "candidates")
     more = F.replace("validation_cases", F.lit('"expected": {'), F.lit('"expected": {"not_there": 1, '))
     broken = rows.withColumn("validation_cases", F.when(F.col("global_index") % 97 == 5, more).otherwise(F.col("validation_cases")))
     return dataset.faults(broken).join(rows.select("sample_id", "global_index"), "sample_id").select("global_index")
@@ -136,7 +136,7 @@ QUERIES = {
     "report_peaks": lambda s, d: report.peaks(problems(s, d), ["split"], "latency_ms"),
     "dataset_columns": lambda s, d: dataset.generate(s).select("global_index", "partition", "graph_signature", "path_prefix", "seed"),
     "dataset_planted_faults": _planted,
-    "dataset_split_leakage": lambda s, d: dataset.leakage(dataset.all_splits(dataset.generate(s))).where("check in ('sample_id_overlap_train_test', 'compositional_signature_overlap_train')"),
+    "dataset_split_leakage": lambda s, d: dataset.leakage(dataset.all_splits(stored(dataset.generate(s), "candidates"))).where("check in ('sample_id_overlap_train_test', 'compositional_signature_overlap_train')"),
 }
 
 ORACLE_SQL = {
