@@ -110,3 +110,34 @@ def held(key: str, make: Callable[[], Any]) -> Any:
         _held.clear()
         _held[key] = make()
     return _held[key]
+
+
+def bounded_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: tuple[int, int], max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], tuple[float, float]]:
+    """Texts and labels (0 or 1, the largest that an id has) of at most ``most``
+    documents of each label, lowest hash of the id first, and how many rows a
+    sampled row of each label stands for.
+
+    Texts over ``max_chars`` are left out before picking, so that others take
+    their place.  Of rows that repeat an id the shortest text (then the least)
+    is taken, in tasks already, so the driver gets no more than ``most`` texts
+    whatever repeats."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sizes = docs.select(F.col(id_col).alias("id"), F.length(text).alias("size")).groupBy("id").agg(F.min("size").alias("size"))
+    found = known.join(sizes, "id")
+    short = lambda k: found.where((F.col("label") == k) & (F.col("size") <= max_chars)).orderBy(F.xxhash64("id"), "id").limit(most[k])
+    picked = [r for k in (0, 1) for r in short(k).collect()]
+    if not picked:
+        return [], [], (1.0, 1.0)
+    totals = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
+    wanted = docs.sparkSession.createDataFrame([(r["id"], r["label"]) for r in picked], "id long, label int")
+    shortest = (
+        docs.select(F.col(id_col).alias("id"), text.alias("body"))
+        .where(F.length("body") <= max_chars)
+        .join(F.broadcast(wanted), "id")
+        .groupBy("id", "label")
+        .agg(F.min(F.struct(F.length("body").alias("size"), "body")).alias("least"))
+    )
+    rows = sorted((r["id"], r["label"], r["least"]["body"]) for r in shortest.collect())
+    n = {k: sum(label == k for _, label, _ in rows) for k in (0, 1)}
+    return [body for *_, body in rows], [label for _, label, _ in rows], (totals.get(0, 0) / max(1, n[0]), totals.get(1, 0) / max(1, n[1]))

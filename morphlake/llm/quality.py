@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import bounded_sample, held
 
 MAX_PER_LABEL, MAX_SAMPLE_CHARS = 2000, 20_000
 FOLDS, HELD_OUT = 4, 2
@@ -207,33 +207,8 @@ def train(bags: list[np.ndarray], labels: list[int], weight_of: tuple[float, flo
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[str], list[int], tuple[float, float]]:
-    """Texts, labels, and how many rows a sampled row of each label stands for.
-    Long rows are left out before picking, so others take their place; bounded
-    by MAX_PER_LABEL rows of MAX_SAMPLE_CHARS characters a label, whatever repeats."""
-    known = (
-        labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        .groupBy(F.col(id_col).alias("id"))
-        .agg(F.max(label_col).alias("label"))
-    )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sizes = docs.select(F.col(id_col).alias("id"), F.length(text).alias("size")).groupBy("id").agg(F.min("size").alias("size"))
-    found = known.join(sizes, "id")
-    at = F.xxhash64("id")
-    picked = [r for k in (0, 1) for r in found.where((F.col("label") == k) & (F.col("size") <= MAX_SAMPLE_CHARS)).orderBy(at, "id").limit(MAX_PER_LABEL).collect()]
-    if not picked:
-        return [], [], (1.0, 1.0)
-    totals = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
-    wanted = docs.sparkSession.createDataFrame([(r["id"], r["label"]) for r in picked], "id long, label int")
-    shortest = (
-        docs.select(F.col(id_col).alias("id"), text.alias("body"))
-        .where(F.length("body") <= MAX_SAMPLE_CHARS)
-        .join(F.broadcast(wanted), "id")
-        .groupBy("id", "label")
-        .agg(F.min(F.struct(F.length("body").alias("size"), "body")).alias("least"))
-    )
-    rows = sorted((r["id"], r["label"], r["least"]["body"]) for r in shortest.collect())
-    n = {k: sum(label == k for _, label, _ in rows) for k in (0, 1)}
-    return [body for _, _, body in rows], [label for _, label, _ in rows], tuple(totals.get(k, 0) / max(1, n[k]) for k in (0, 1))
+    """Texts, labels, and how many rows a sampled row of each label stands for."""
+    return bounded_sample(docs, labels.where(~held_out(F.col(id_col))), label_col, (MAX_PER_LABEL, MAX_PER_LABEL), MAX_SAMPLE_CHARS, id_col, text_col)
 
 
 def _bytes(text: str) -> np.ndarray:

@@ -11,8 +11,8 @@ runs of tokens with a marginal of a half or more are the offending spans; a
 toxic document without such a token has its likeliest one.
 
 The model is fitted on the driver on a bounded sample of labelled rows:
-``MAX_TOXIC`` and ``MAX_CLEAN`` documents, lowest hash of the id first, of at
-most ``MAX_SAMPLE_CHARS`` characters each.  Scoring reads whole texts and
+``MAX_TOXIC`` and ``MAX_CLEAN`` documents, lowest hash of the id first, among
+those of at most ``MAX_SAMPLE_CHARS`` characters.  Scoring reads whole texts and
 nothing but texts.
 
 Defined results: a null or empty text scores like a text without words (0);
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, spare_name
+from .common import bounded_sample, held, spare_name
 
 MAX_TOXIC, MAX_CLEAN, MAX_SAMPLE_CHARS = 800, 1600, 20_000
 FOLDS = 5
@@ -172,26 +172,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """Texts, labels, and how many clean rows a sampled clean row stands for,
     relative to toxic ones.  only: a condition on ``labels``."""
     rows = labels.where(only) if only is not None else labels
-    known = rows.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).alias("label"))
-    at = F.xxhash64("id")
-    picked = [r for k, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)) for r in known.where(F.col("label") == k).orderBy(at, "id").limit(most).collect()]
-    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    if not picked:
-        return [], [], 1.0
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(r["id"], r["label"]) for r in picked], "sampled_id long, sampled_label int")
-    found = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-        .where(F.length("body") <= MAX_SAMPLE_CHARS)
-        .join(F.broadcast(wanted), F.col("id") == F.col("sampled_id"))
-        .select("id", "body", "sampled_label")
-        .collect()
-    )
-    unique = {r["id"]: r for r in sorted(found, key=lambda r: (r["id"], r["body"]))}
-    rows = list(unique.values())
-    n = {k: sum(r["sampled_label"] == k for r in rows) for k in (0, 1)}
-    weight = (totals.get(0, 0) / max(1, n[0])) / (totals.get(1, 0) / max(1, n[1])) if n[0] and n[1] else 1.0
-    return [r["body"] for r in rows], [r["sampled_label"] for r in rows], weight
+    texts, known, (clean, toxic) = bounded_sample(docs, rows, label_col, (MAX_CLEAN, MAX_TOXIC), MAX_SAMPLE_CHARS, id_col, text_col)
+    return texts, known, clean / toxic if clean and toxic else 1.0
 
 
 class _Scorer:
@@ -231,20 +213,28 @@ class _Scorer:
         return np.split(both / (1 + both), stops[:-1])
 
 
+def _origins(text: str) -> np.ndarray:
+    """Of each character of the lower-cased text the place of the character that
+    it comes from; lower-casing makes two characters of some."""
+    return np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+
+
 def _spans(text: str, marginals: np.ndarray) -> list[dict[str, int]]:
     """Runs of tokens with a marginal of THRESHOLD or more; where a text is toxic
-    by many tokens of less, the likeliest.  Offsets are those of the lower-cased
-    text, which are the text's own unless lower-casing changes its length; then
-    words are found in the text."""
+    by many tokens of less, the likeliest.  Tokens are those of the lower-cased
+    text that was scored; offsets are the text's own."""
     lower = text.lower()
-    words = list(WORD.finditer(lower if len(lower) == len(text) else text))
+    words = [w.span() for w in WORD.finditer(lower)]
+    if len(lower) != len(text):
+        origin = _origins(text)
+        words = [(int(origin[a]), int(origin[b - 1]) + 1) for a, b in words]
     toxic = marginals >= min(THRESHOLD, marginals.max())
     out: list[dict[str, int]] = []
-    for k in np.flatnonzero(toxic[: len(words)]).tolist():
+    for k in np.flatnonzero(toxic).tolist():
         if out and k and toxic[k - 1]:
-            out[-1]["end"] = words[k].end()
+            out[-1]["end"] = words[k][1]
         else:
-            out.append({"start": words[k].start(), "end": words[k].end()})
+            out.append({"start": words[k][0], "end": words[k][1]})
     return out
 
 
