@@ -96,7 +96,7 @@ UNION ALL SELECT 'pattern', o_orderpriority, count(*)::BIGINT FROM orders GROUP
 UNION ALL SELECT 'level', (o_orderkey % 5)::VARCHAR, count(*)::BIGINT FROM orders GROUP BY 2
 UNION ALL SELECT 'has_array', 'true', (count(*) FILTER (WHERE o_orderkey % 3 = 0))::BIGINT FROM orders
 UNION ALL SELECT 'has_null', 'true', (count(*) FILTER (WHERE o_totalprice > 200000))::BIGINT FROM orders
-UNION ALL SELECT 'has_condition', 'true', 0::BIGINT FROM orders
+UNION ALL SELECT 'has_condition', 'true', (count(*) FILTER (WHERE o_orderkey < 0))::BIGINT FROM orders
 """
 
 # -- faults ----------------------------------------------------------------
