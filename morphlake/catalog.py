@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import json_queries, scored_queries, table_queries
+from . import json_queries, scored_queries, stored_queries, table_queries
 from .operators import compare, dataset, dynamic, metrics, report
 from .operators.patterns import PATTERNS
 from .operators.transform import transform
@@ -611,7 +611,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("score_classes", _scored, None)
 
-for _module in (scored_queries, json_queries, table_queries):
+for _module in (scored_queries, json_queries, table_queries, stored_queries):
     for _name, _query in _module.QUERIES.items():
         _add(_name, _query, _module.ORACLE_SQL.get(_name))
 _add(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import dataset, metrics, report, score
-from .sources import files
+from .sources import files, places
 
 METRICS = (
     "json_parse_rate schema_conformance_rate executable_rate target_schema_pass_rate hidden_case_pass_rate problem_exact_pass_rate "
@@ -105,16 +105,24 @@ def _other_counts(rows: DataFrame, n: int) -> DataFrame:
 COMPLETION = "sample_id string, completion string, finish_reason string, prompt_tokens long, completion_tokens long, latency_ms double"
 
 
+def completion_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Completions from JSON lines with the file and line of each; a line that is
+    no JSON object is an error that names its place."""
+    found = places.read_placed_json_lines(spark, path, schema=COMPLETION)
+    told = F.raise_error(F.concat_ws(":", "file", "line")).cast("string")
+    return found.withColumn("sample_id", F.when(F.col("malformed"), told).otherwise(F.col("sample_id"))).drop("malformed")
+
+
 def raw_rows(spark: SparkSession, completions: DataFrame, rows: DataFrame, run_id: str) -> DataFrame:
     """Completions scored against the rows of their split, with what the metrics
-    need beside the scores."""
+    need beside the scores and, where it is known, the place of each."""
     scored = score.score_table(completions.join(rows.drop("prompt"), "sample_id"))
     exact = (F.size("cases") > 0) & F.forall("cases", lambda c: c["passed"])
     return scored.select(
         F.lit(run_id).alias("run"), "split", "sample_id", "completion", "program", "components", "cases", "reward",
         metrics.final_failure(F.col("failure_type"), F.col("finish_reason"), exact).alias("failure_type"),
         "prompt_tokens", "completion_tokens", "latency_ms",
-        *_known(),
+        *_known(), *(c for c in places.PLACE if c in completions.columns),
         (F.try_parse_json("completion").isNotNull() & F.ltrim("completion").startswith("{")).alias("is_json"),
     )
 
@@ -124,7 +132,7 @@ def evaluate(spark: SparkSession, root: str, completions: str, out: str, run_id:
     failures, metrics and the failure summary.  What was measured while
     generating comes in by ``rescore``."""
     rows = _rows(spark, f"{root}/test/*")
-    raw_rows(spark, files.read_json_lines(spark, completions, schema=COMPLETION), rows, run_id).write.parquet(f"{out}/raw")
+    raw_rows(spark, completion_rows(spark, completions), rows, run_id).write.parquet(f"{out}/raw")
     return _tables(spark, spark.read.parquet(f"{out}/raw"), out)
 
 
@@ -226,7 +234,8 @@ def verify(spark: SparkSession, runs: dict[str, int]) -> dict[str, int]:
 def summarize(spark: SparkSession, runs: dict[str, str], out: str) -> str:
     """Reports over several runs (name: folder of ``evaluate``): means, exact
     rates by split, peak memory where it was measured, failures, the four most
-    frequent ones, and the first right and wrong completion of each run."""
+    frequent ones, and the first right and wrong completion of each run and split
+    by file and line (by sample, where rows were stored without)."""
 
     def read(kind: str) -> DataFrame:
         tables = [spark.read.parquet(f"{folder}/{kind}") for folder in runs.values()]
@@ -251,17 +260,22 @@ def summarize(spark: SparkSession, runs: dict[str, str], out: str) -> str:
     top = report.top_per_group(summed, ["run"], 4, F.desc("count"), F.col("met"), F.col("failure_type")).drop("met")
     shown = benchmark.select("run", *(report.fixed(F.col(c), 3).alias(c) for c in benchmark.columns if c != "run"))
     right = (F.size("cases") > 0) & (F.size("cases") == F.col("n_hidden")) & F.forall("cases", lambda c: c["passed"])
+    for column, kind in zip(places.PLACE, ("string", "long")):
+        if column not in raw.columns:
+            raw = raw.withColumn(column, F.lit(None).cast(kind))
+    raw = raw.withColumn("place", F.struct(*places.PLACE, "sample_id"))
     shots = [
-        report.first_match(raw, ["run"], right if good else ~right, "sample_id", ["split", "completion", "failure_type"]).select(
-            "run", F.lit("right" if good else "wrong").alias("kind"), "split", "sample_id", "failure_type", report.excerpt(F.col("completion")).alias("completion")
+        report.first_match(raw, ["run", "split"], right if good else ~right, "place", ["completion", "failure_type"]).select(
+            "run", "split", F.lit("right" if good else "wrong").alias("kind"), F.col("place.sample_id").alias("sample_id"), "failure_type",
+            F.concat_ws(":", "place.file", "place.line").alias("place"), report.excerpt(F.col("completion")).alias("completion"),
         )
         for good in (True, False)
-    ]
+    ]
     text = "\n".join(
         [
             f"# Runs\n\n{report.markdown(shown)}",
             f"# Most frequent failures\n\n{report.markdown(top.orderBy('run', 'rank'))}",
-            f"# Examples\n\n{report.markdown(shots[0].unionByName(shots[1]).orderBy('run', 'kind'))}",
+            f"# Examples\n\n{report.markdown(shots[0].unionByName(shots[1]).orderBy('run', 'split', 'kind'))}",
         ]
     )
     files.write_text(spark, text, f"{out}/report")

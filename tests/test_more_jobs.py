@@ -1,6 +1,7 @@
 """Shards, authored examples, token budgets, rescoring with the dataset, run checks."""
 
 import json
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,7 +62,16 @@ def test_rescore_verify_summarize(spark, tmp_path):
     with pytest.raises(ValueError, match="3 rows, 4 expected"):
         jobs.verify(spark, {run: 4})
     text = jobs.summarize(spark, {"e": run}, str(tmp_path / "reports"))
-    assert "2048.000" in text and "| wrong | test_iid |" in text and "no\\njson" in text and "| right | test_iid |" in text
+    assert "2048.000" in text and "| test_iid | wrong |" in text and "no\\njson" in text and "| test_iid | right |" in text
+    shown = [line.split(" | ") for line in text.splitlines() if "| test_iid | wrong |" in line or "| test_iid | right |" in line]
+    for line in shown:
+        file, number = line[5].rsplit(":", 1)
+        there = json.loads(open(unquote(file.removeprefix("file:"))).read().splitlines()[int(number) - 1])
+        assert there["sample_id"] == line[3]
+    assert len(shown) == 2
+    (tmp_path / "broken.jsonl").write_text('\n{"sample_id": "a"}\n{"sample_id": \n')
+    with pytest.raises(Exception, match="broken.jsonl:3"):
+        jobs.completion_rows(spark, str(tmp_path / "broken.jsonl")).collect()
     files.write_json_lines(dataset.evaluation_rows(first.where("global_index > 0"), "test_iid"), f"{tmp_path}/less/test/test_iid")
     with pytest.raises(ValueError, match="1 stored rows are not in the dataset"):
         jobs.rescore(spark, run, f"{tmp_path}/less")
