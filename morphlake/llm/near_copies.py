@@ -13,8 +13,11 @@ link is counted on the two whole sets.
 Of each key every node proposes the least node within its radius, never all
 pairs, and the least of all keys is tried, which connects most near copies.
 Where proposals connect what tried pairs did not, the whole sets of what they
-connect are compared in pieces of ``PIECE``, and each piece gives a spanning
-forest of its links.
+connect are compared in pieces of ``PIECE`` sets or ``PIECE_ITEMS`` shingles, and
+each piece gives a spanning forest of its links.  A group of several pieces is
+first cut into what shares rare shingles, as linked sets do: with the shingles
+of both in one order, rare ones first, the first fifth and one of each have one
+in common.  Common boilerplate then connects nothing.
 
 Defined results: words are as in ``simhash``; fewer words than a shingle are one
 shingle; texts without words are near copies of one another and of nothing else.
@@ -46,10 +49,10 @@ WORDS, RADIUS = 2, 32
 TABLES, KEY_BITS, KEY_MEAN, MISSED = 96, 10, 1024, 0.01
 #: The probability that a bit is the same where the similarity is 0.8.
 SAME = 0.8485
-#: Rounds in which nodes propose one pair before whole sets are compared.
-ROUNDS = 1
-#: Sets of a piece, and shingles that are counted at a time.
-PIECE, STRIPE = 1024, 2048
+#: Sets and shingles of a piece, and shingles that are counted at a time.
+PIECE, PIECE_ITEMS, STRIPE = 1024, 1 << 21, 2048
+#: Counters, a power of two, that tell rare shingles from frequent ones.
+COUNTERS = 1 << 18
 # odd factors that make further words of a hash
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 62, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -182,6 +185,50 @@ def _grouped(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return nodes.join(roots, F.col("node") == F.col("of"), "left").withColumn(name, F.coalesce("least", "node")).drop("of", "least")
 
 
+def _rare(counts: np.ndarray):
+    """Of each set the shingles of which linked sets share one: all but the most
+    frequent that a link cannot do without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, whole = SIMILAR
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                some, found = batch.slice(a, 256), [np.zeros(0, np.int64)]
+                for items in some.column("items"):
+                    x = items.values.to_numpy()
+                    found.append(x[np.lexsort((x, counts[x & (COUNTERS - 1)]))[: len(x) + 1 + -len(x) * part // whole]] if len(x) else x)
+                at = np.repeat(np.arange(len(some)), [len(x) for x in found[1:]])
+                kept = some.select(["whole", "own"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(found))], ["whole", "own", "item"])
+
+    return run
+
+
+def _cut(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """``groups`` (whole, own, node, ...) cut into what rare shingles connect, named
+    anew in ``whole``; what meets nothing but its own goes.  Frequent is what has
+    a large counter: ``COUNTERS`` counts reach the driver, and shingles that share
+    one only make groups larger."""
+    large = materialize(groups.select("whole", "own", "node").join(sets, "node"), "large")
+    counts = np.zeros(COUNTERS, np.int64)
+    counters = F.transform("items", lambda x: F.pmod(x, F.lit(COUNTERS)).cast("int"))
+    for c, n in large.select(F.explode(counters).alias("c")).groupBy("c").count().collect():
+        counts[c] = n
+    rare = materialize(large.select("whole", "own", "items").mapInArrow(_rare(counts), "whole long, own long, item long").distinct(), "rare")
+    met = rare.groupBy("whole", "item").agg(F.min("own").alias("b"), F.max("own").alias("last")).where("b < last")
+    met = materialize(met.drop("last"), "met")
+    links = rare.join(met, ["whole", "item"]).where("own > b").select(F.col("own").alias("a"), "b")
+    roots = materialize(components(links).withColumnRenamed("node", "of").withColumnRenamed("root", "least"), "roots")
+    return groups.join(roots, F.col("own") == F.col("of")).withColumn("whole", F.col("least")).drop("of", "least")
+
+
+def _open(groups: DataFrame) -> DataFrame:
+    """``whole, p``: groups that true links do not connect, and their pieces."""
+    found = groups.groupBy("whole").agg(F.min("own").alias("r"), F.max("own").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("items"))
+    pieces = F.greatest(F.ceil(F.col("n") / PIECE), F.ceil(F.col("items") / PIECE_ITEMS)).cast("int")
+    return materialize(found.where("r < s").select("whole", pieces.alias("p")), "several")
+
+
 def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b``: pairs of ``nodes`` (node, k1, k2, hash, size, fp, fp2) that connect
     what true links between candidates connect.  texts: ``hash, text``."""
@@ -191,17 +238,20 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     rows = keyed(nodes, keys, ("size",))
     found = materialize(compared(rows, n * len(keys), by_key(_proposed), "a long, b long, tried boolean").distinct(), "proposed")
     first = materialize(found.where("tried").groupBy("a").agg(F.min("b").alias("b")), "first")
-    wanted = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k1", "k2", "hash"), "node"), "wanted")
+    wanted = materialize(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k1", "k2", "hash", "size"), "node"), "wanted")
     asked = wanted.select("hash").distinct()
     asked_texts = may_hold(texts, F.col("hash"), asked, "asked").where("asked").join(asked, "hash", "left_semi").select("text")
     made = with_sets(asked_texts, "text", ("k1", "k2"), "items", _as_longs)
     sets = materialize(made.groupBy("k1", "k2").agg(F.first("items").alias("items")).join(wanted, ["k1", "k2"]).select("node", "items"), "sets")
-    links = materialize(_verified(first if ROUNDS else first.limit(0), sets), "links")
+    links = materialize(_verified(first, sets), "links")
     # what candidates connect and true links do not is open
-    groups = _grouped(_grouped(wanted.select("node"), links, "own"), found.select("a", "b"), "whole")
+    groups = _grouped(_grouped(wanted.select("node", "size"), links, "own"), found.select("a", "b"), "whole")
     groups = materialize(groups, "groups")
-    several = groups.groupBy("whole").agg(F.min("own").alias("r"), F.max("own").alias("s"), F.count(F.lit(1)).alias("n")).where("r < s")
-    several = materialize(several.select("whole", F.ceil(F.col("n") / PIECE).cast("int").alias("p")), "several")
+    several = _open(groups)
+    if not several.where("p > 1").isEmpty():
+        large, small = (groups.join(several.where(p).select("whole"), "whole", "left_semi") for p in ("p > 1", "p = 1"))
+        groups = materialize(small.unionByName(_cut(large, sets)), "groups")
+        several = _open(groups)
     mine = F.pmod(F.xxhash64("node"), F.col("p")).cast("int")
     pieces = groups.join(several, "whole").select("whole", "node", mine.alias("x"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("y"))
     pieces = materialize(pieces.select("whole", "node", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")), "open")

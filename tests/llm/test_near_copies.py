@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from morphlake.llm import near_copies
 
 
@@ -51,8 +53,53 @@ def test_near_copies_are_exact(spark, monkeypatch):
     want = survivors(docs)
     assert 100 < len(want) < 300
     assert {r.doc_id for r in near_copies.drop_near_copies(table).collect()} == want
-    monkeypatch.setattr(near_copies, "ROUNDS", 0)
+    # nothing is tried first: whole sets are compared
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, sets: pairs.select("a", "b").limit(0))
+    assert {r.doc_id for r in near_copies.drop_near_copies(table).collect()} == want
+
+
+def chained_texts():
+    """A chain in which only neighbours are near, and a family of boilerplate whose
+    texts are close, but not close enough, but for some pairs."""
+    rng = random.Random(3)
+    words = [f"u{k}" for k in range(400)]
+    chain = [" ".join(words[6 * k : 6 * k + 75]) for k in range(40)]
+    plate = [f"p{k}" for k in range(60)]
+    family = [" ".join(plate + [f"own{k}x{i}" for i in range(12)]) for k in range(60)]
+    family += [t + " more" for t in rng.sample(family, 15)]
+    texts = chain + family
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("piece, items, counters", [(4, 1 << 21, 1 << 18), (1024, 500, 1 << 18), (4, 1 << 21, 2)])
+def test_groups_of_several_pieces(spark, monkeypatch, piece, items, counters):
+    docs = chained_texts()
+    want = survivors(docs)
+    assert len(want) == 1 + 60
+    monkeypatch.setattr(near_copies, "PIECE", piece)
+    monkeypatch.setattr(near_copies, "PIECE_ITEMS", items)
+    monkeypatch.setattr(near_copies, "COUNTERS", counters)
+    cut, seen = near_copies._cut, []
+    monkeypatch.setattr(near_copies, "_cut", lambda *a: seen.append(1) or cut(*a))
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in near_copies.drop_near_copies(table).collect()} == want
+    assert seen
+
+
+def test_linked_sets_share_a_rare_shingle():
+    rng = random.Random(8)
+    counts = near_copies.np.array([rng.randrange(50) for _ in range(near_copies.COUNTERS)])
+    for _ in range(300):
+        n = rng.choice([1, 2, 4, 5, 9, 10, 33, 200])
+        one = [rng.getrandbits(62) for _ in range(n)]
+        two = one[: len(one) - n // 9] + [rng.getrandbits(62) for _ in range(n // 9)]
+        if 5 * len(set(one) & set(two)) < 4 * len(set(one) | set(two)):
+            continue
+        rows = near_copies.pa.RecordBatch.from_pylist([{"whole": 0, "own": k, "items": sorted(x)} for k, x in enumerate((one, two))])
+        (made,) = near_copies._rare(counts)([rows])
+        rare = [{r["item"] for r in made.to_pylist() if r["own"] == k} for k in (0, 1)]
+        assert rare[0] & rare[1] and len(rare[0]) == n - -(-4 * n // 5) + 1
 
 
 def test_bands_miss_no_pair_at_the_limit():
