@@ -95,3 +95,19 @@ def test_counts_of_parts_add_up(spark):
     as_rows = lambda df: sorted((tuple(r.place), r.kind, r.n) for r in df.collect())
     assert as_rows(inference.added(*parts)) == as_rows(inference.kind_counts(whole, "v"))
     assert inference.kind_counts(whole.where("false"), "v").count() == 0 and inference.infer_schema(whole.where("false"), "v") == {"type": "null"}
+
+
+@pytest.mark.parametrize("most", [metrics.MAX_SENT, 0])
+def test_values_that_repeat_are_not_broadcast(spark, monkeypatch, most):
+    """Such values are a small file of many rows; ranks go to them, or both are shuffled."""
+    plans = []
+    kept = metrics.stored
+    monkeypatch.setattr(metrics, "stored", lambda df, tag: plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or kept(df, tag))
+    monkeypatch.setattr(metrics, "MAX_SENT", most)
+    df = spark.range(200_000).select((F.col("id") % 2).alias("k"), (F.col("id") % 977).cast("double").alias("v"))
+    got = {r.k: (r.p50, r.p95) for r in metrics.percentile_table(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got == {k: tuple(sorted(float(i % 977) for i in range(k, 200_000, 2))[round(99_999 * p)] for p in (0.5, 0.95)) for k in (0, 1)}
+    passes = [plan for tag, plan in plans if tag == "ranks"][1:]
+    assert len(passes) == 4
+    assert all(("BuildRight" in p and "SortMergeJoin" not in p) if most else "SortMergeJoin" in p for p in passes)
+    assert not any("BuildLeft" in p for p in passes)
