@@ -221,3 +221,53 @@ def test_components_of_binary_mode():
     done = score.score({"steps": [_s("copy", "a", "a")]}, schema, schema, [record], "binary")
     assert done.components == {"all_hidden_cases": 1.0} and done.reward == 1.0
     assert set(score.score({"steps": [_s("copy", "a", "a")]}, schema, schema, [record]).components) == {"parse_schema", "reference_validity", "target_schema", "hidden_exact", "field_f1"}
+
+
+def test_numbers_in_json_and_texts_have_no_needless_exponent(spark):
+    values = [12000001.0, 1e15, 1e16, 0.001, 0.00001, -12345678.5, {"s": "1.5E7, or 2E-3: no", "v": 72000001.0}, [-2.5e20, "a\"E,5E7\\"], "E1E5," * 4000]
+    powered = ["1.2000001E7", "1E15", "1E16", "1E-3", "1E-5", "-1.23456785E7", '{"v": 7.2000001E7, "s": "1.5E7, or 2E-3: no"}', '[-2.5E20, "a\\"E,5E7\\\\"]', json.dumps("E1E5," * 4000)]
+    df = spark.createDataFrame([*enumerate(powered)], "i int, x string").select("i", F.try_parse_json("x").alias("v"))
+    for r in df.select("i", V.spaced_json(F.col("v")).alias("json"), V.text(F.col("v")).alias("text")).collect():
+        assert r.json == json.dumps(values[r.i])
+        assert r.text == str(values[r.i]) or isinstance(values[r.i], (dict, list))
+
+
+def test_values_of_large_keys(spark, tmp_path):
+    """programs_in_column on keys that make numbers of ten million and more."""
+    from morphlake.json_queries import QUERIES
+
+    keys = [k + 16 * 600_000 for k in range(16)]
+    spark.createDataFrame([(k, 7, "F", 150000.5) for k in keys], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").withColumn("o_orderdate", F.to_timestamp(F.lit("2024-02-09"))).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.v for r in QUERIES["programs_in_column"](spark, str(tmp_path)).collect()}
+    assert got[keys[6]] == f"{keys[6] * 2 + 1}.0" and got[keys[0]] == "7" and got[keys[2]] == "150000" and got[keys[15]] is None
+
+
+def test_few_programs_against_single_records(spark):
+    """Programs that are few become expressions of their own, with the same results."""
+    from morphlake.operators.dynamic import transform_rows
+
+    chosen = [*({s["op"]: [s] for s in STEPS}.values()), ORDERED[3], ORDERED[5], [STEPS[7], STEPS[3] | {"to": "x2.y"}]]
+    for few in (chosen[::2], chosen[1::2]):
+        rows = [(k, i, json.dumps({"steps": p}), json.dumps(r)) for k, p in enumerate(few) for i, r in enumerate(RECORDS)]
+        made = transform_rows(spark.createDataFrame(rows, "k int, i int, program string, record string"))
+        for r in made.collect():
+            try:
+                want = records.compiled(parse({"steps": few[r.k]}))(json.loads(json.dumps(RECORDS[r.i])))
+            except records.RowError as e:
+                want = None
+                if str(e).startswith("missing source path"):
+                    assert "map_array" in r.program or "filter_array" in r.program or r.error == str(e), (r, str(e))
+            assert (r.error is None) == (want is not None), (r, want)
+            assert (None if r.target is None else json.loads(r.target)) == want, (r, want)
+
+
+def test_faults_are_looked_for_once(spark):
+    """No filter before the faults are listed, as that runs every case twice."""
+    from morphlake.operators import dataset
+
+    program = json.dumps({"steps": [_s("copy", "b", "a")]})
+    schema = json.dumps({"type": "object", "properties": {n: {"type": "integer"} for n in "ab"}, "additionalProperties": False})
+    rows = [(k, program, schema, schema, json.dumps([{"input": {"a": k}, "expected": {"b": k % 2}}])) for k in range(4)]
+    made = dataset.faults(spark.createDataFrame(rows, "sample_id int, reference_program string, source_schema string, target_schema string, validation_cases string"))
+    assert {(r.sample_id, r.fault) for r in made.collect()} == {(k, "the program gives another result") for k in (2, 3)}
+    assert "Filter (size(" not in made._jdf.queryExecution().optimizedPlan().toString()
