@@ -23,7 +23,7 @@ are tasks.  Equal chunks then meet in one partition, sorted, and the first of
 each is written: no state grows with the data.  Recipes are dealt evenly.
 
 A chunk stored once cannot stand in the order of every document that holds it,
-so contents lie in the order of their digests; what ascends with the ids of the
+so contents lie in an order made from their digests; what ascends with the ids of the
 documents are the recipes, which say in which order the ids follow each other.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
@@ -53,6 +53,9 @@ ROLL = 8
 MIN_CHUNK, MASK, MAX_CHUNK = 64, 0xFF, 1024
 #: Digests that a task remembers, and bytes of contents for each partition.
 SENT, PART_BYTES = 50_000, 64 << 20
+#: Bytes of text that are encoded at a time: the more, the fewer distinct segments in all.
+SLICE_BYTES = 6 << 20
+_POSITIVE = np.int64((1 << 63) - 1)
 _SCATTER, _ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
@@ -162,13 +165,14 @@ def _digests(keys: bytes) -> pa.Array:
 
 
 def _encoded(docs: DataFrame, source, end_id: int, width: int) -> DataFrame:
-    """Chunk rows (key: digest) and recipe rows (key: root) of all documents."""
+    """Chunk rows (key: digest) and recipe rows (key: root) of all documents; deal is
+    made from a chunk's digest, and negative for recipes, so that a number sorts both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sent, made = encoder(source.value).encode_all, set(), 0
         task = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), SLICE_BYTES):
                 ids, bounds = encode(texts, end_id)
                 if len(ids) and int(ids.max()) >> 8 * width:
                     raise ValueError(f"ids of this vocabulary do not fit in {width} bytes")
@@ -188,13 +192,13 @@ def _encoded(docs: DataFrame, source, end_id: int, width: int) -> DataFrame:
                 joined = b"".join(keys)
                 chosen = pa.array(new, pa.int64())
                 hashes, contents = _digests(joined), _pieces(data, np.concatenate((begins, ends[-1:])) * width)
-                deal = pa.array(np.frombuffer(joined, "<i8")[::2])
+                deal = pa.array(np.frombuffer(joined, "<i8")[::2] & _POSITIVE)
                 yield _rows("chunks", len(new), deal=deal.take(chosen), key=hashes.take(chosen), n=pa.array(ends - begins).take(chosen), ids=contents.take(chosen))
                 stops = np.cumsum(counts)
                 edges = np.concatenate(([0], stops)) * _SIZE
                 roots = b"".join(digest(joined[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist()))
                 lists = pa.ListArray.from_arrays(pa.array((edges // _SIZE).astype(np.int32)), hashes)
-                yield _rows("recipes", len(texts), deal=pa.array(task.integers(-(1 << 62), 1 << 62, len(texts))), key=_digests(roots), n=pa.array(np.diff(bounds)), doc_id=batch.column(0).slice(at, len(texts)), chunks=lists)
+                yield _rows("recipes", len(texts), deal=pa.array(task.integers(-(1 << 62), 0, len(texts))), key=_digests(roots), n=pa.array(np.diff(bounds)), doc_id=batch.column(0).slice(at, len(texts)), chunks=lists)
 
     return docs.mapInArrow(run, _ROWS)
 
@@ -261,7 +265,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str =
     (
         _encoded(rows, source, end_id, width)
         .repartition(n, "deal")
-        .sortWithinPartitions("kind", "key")
+        .sortWithinPartitions("deal", "key")
         .mapInArrow(_first_of_each, _ROWS)
         .write.option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", "1")

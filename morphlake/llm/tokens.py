@@ -9,8 +9,9 @@ space, where no token of the library can reach across; tokenizers of another
 make get whole texts.
 
 ``encode_all`` takes a batch of texts: Arrow cuts all of them at once and names
-each distinct segment by a number, so a segment is looked up once a batch, and
-the ids are put in place by number.
+each distinct segment by a number; those that the worker knows are found by Arrow
+as well, and only new ones become Python's strings.  The ids are put in place by
+number.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+#: The same, but for the mark.
+_MARKED_LETTERS = {b: x for b, x in _LETTERS.items() if chr(b) != _MARK}
+_id = attrgetter("id")
 
 
 class _Cache(dict):
@@ -78,6 +83,11 @@ class _Cache(dict):
             self[key] = value
         return value
 
+    def fill(self, keys: list[str], values: list[bytes]) -> None:
+        """Keeps what there is room for."""
+        if (room := self.most - len(self)) > 0:
+            self.update(zip(keys[:room], values))
+
 
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers in bytes."""
@@ -98,10 +108,27 @@ class Encoder:
         self.pieces = _Cache(self._piece, MAX_PIECES)
         self.pieces[_MARK] = b""
         self.rest = _Cache(self._after_space if self.kind == "byte" else self._segment, MAX_SEGMENTS)
+        #: What ``encode_all`` knows: segments, their ids in a row, how many each has.
+        self.known, self.flat, self.size = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(_LETTERS)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return array("I", map(_id, self.tokenizer.model.tokenize(letters))).tobytes()
+
+    def _named(self, pieces: list[str]) -> list[bytes]:
+        """The ids of many pieces, of which marks have none; new ones are spelt in
+        letters in a row."""
+        found = [*map(self.pieces.get, pieces)]
+        new = [k for k, x in enumerate(found) if x is None]
+        names = [*dict.fromkeys([pieces[k] for k in new])]
+        if names:
+            letters = _MARK.join(names).encode().decode("latin-1").translate(_MARKED_LETTERS).split(_MARK)
+            made = [array("I", map(_id, x)).tobytes() for x in map(self.tokenizer.model.tokenize, letters)]
+            self.pieces.fill(names, made)
+            given = dict(zip(names, made))
+            for k in new:
+                found[k] = given[pieces[k]]
+        return found
 
     def _segment(self, segment: str) -> bytes:
         # what is split is the normalised text: lower-case forms of plain capitals may lie beyond the class
@@ -113,33 +140,32 @@ class Encoder:
     def _after_space(self, segment: str) -> bytes:
         return self._segment(" " + segment)
 
-    def _many(self, segments: list[str]) -> list[bytes]:
-        """What ``rest`` holds for many segments; plain ones are split in a row,
-        with a mark between them."""
-        line = "".join([(" " if self.kind == "byte" else "") + x + _MARK for x in segments])
+    def _line(self, segments: list[str]) -> list[bytes] | None:
+        """The ids of each piece, and an empty value after each segment, which are
+        split in a row with a mark between them; none if one is not plain."""
+        space = " " if self.kind == "byte" else ""
+        line = space + (_MARK + space).join(segments) + _MARK
         plain = line if self.kind == "byte" else line.lower()
-        if line.count(_MARK) > len(segments) or not (_PLAIN_LINE.match(line) and _PLAIN_LINE.match(plain)):
-            if len(segments) == 1:
-                return [self.rest.make(segments[0])]
+        if line.count(_MARK) > len(segments) or not (_PLAIN_LINE.match(line) and (plain is line or _PLAIN_LINE.match(plain))):
+            return None
+        return self._named(self.marked.findall(plain))
+
+    def _many(self, segments: list[str]) -> tuple[bytes, np.ndarray]:
+        """The ids of many segments in a row, and how many each has."""
+        if not segments:
+            return b"", np.zeros(0, np.int64)
+        found = self._line(segments)
+        if found is None:
             fit = [bool(_PLAIN.match(x) and _PLAIN.match(x.lower())) for x in segments]
             if all(fit):
-                return [*map(self.rest.make, segments)]
-            good = iter(self._many([x for x, ok in zip(segments, fit) if ok]))
-            return [next(good) if ok else self.rest.make(x) for x, ok in zip(segments, fit)]
-        found = [*map(self.pieces.__getitem__, self.marked.findall(plain))]
+                fit = [False] * len(segments)
+            plain, n = self._many([x for x, ok in zip(segments, fit) if ok])
+            stops = (np.cumsum(n) * 4).tolist()
+            good = iter(zip([0, *stops], stops))
+            made = [plain[slice(*next(good))] if ok else self.rest.make(x) for x, ok in zip(segments, fit)]
+            return b"".join(made), np.fromiter(map(len, made), np.int64, len(made)) // 4
         size = np.fromiter(map(len, found), np.int64, len(found))
-        stops = np.cumsum(size)[size == 0].tolist()
-        data = b"".join(found)
-        return [data[a:b] for a, b in zip([0, *stops], stops)]
-
-    def _looked_up(self, segments: list[str]) -> list[bytes]:
-        found = [*map(self.rest.get, segments)]
-        new = [k for k, x in enumerate(found) if x is None]
-        for k, x in zip(new, self._many([segments[k] for k in new])):
-            found[k] = x
-            if len(self.rest) < self.rest.most:
-                self.rest[segments[k]] = x
-        return found
+        return b"".join(found), np.diff(np.cumsum(size)[size == 0], prepend=0) // 4
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -172,10 +198,19 @@ class Encoder:
         named = parts.flatten().dictionary_encode()
         codes = named.indices.to_numpy()
         n_parts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy().astype(np.int64)
-        found = [*self._looked_up(named.dictionary.to_numpy(zero_copy_only=False).tolist()), *heads, end.to_bytes(4, "little")]
-        flat = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # segments that are known come first, then the new ones, the heads, the end
+        place = pc.fill_null(pc.index_in(named.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new, n_known = place < 0, len(self.known)
+        unknown = named.dictionary.filter(pa.array(new))
+        made, made_size = self._many(unknown.to_numpy(zero_copy_only=False).tolist())
+        place[new] = n_known + np.arange(len(unknown))
+        ends = [*heads, end.to_bytes(4, "little")]
+        flat = np.concatenate((self.flat, np.frombuffer(made + b"".join(ends), "<u4")))
+        size = np.concatenate((self.size, made_size, np.fromiter(map(len, ends), np.int64, len(ends)) // 4))
         at = np.cumsum(size) - size
+        if (room := min(MAX_SEGMENTS - n_known, len(unknown))) > 0:
+            self.known = pa.concat_arrays([self.known, unknown.slice(0, room)])
+            self.flat, self.size = flat[: at[n_known + room]].copy(), size[: n_known + room].copy()
         # the pieces of text k: its head, its other segments, the end
         n = len(heads)
         last = np.cumsum(n_parts + 2)
@@ -183,9 +218,9 @@ class Encoder:
         order = np.empty(int(last[-1]) if n else 0, np.int64)
         middle = np.ones(len(order), bool)
         middle[first], middle[last - 1] = False, False
-        order[middle] = codes
-        order[first] = len(named.dictionary) + np.arange(n)
-        order[last - 1] = len(found) - 1
+        order[middle] = place[codes]
+        order[first] = n_known + len(unknown) + np.arange(n)
+        order[last - 1] = len(size) - 1
         sizes = size[order]
         stops = np.cumsum(sizes)
         ids = flat[np.arange(int(stops[-1]) if n else 0) + np.repeat(at[order] - stops + sizes, sizes)]
@@ -197,14 +232,14 @@ def encoder(source: str) -> Encoder:
     return held("encoder " + hashlib.sha256(source.encode()).hexdigest(), lambda: Encoder(source))
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of a column of texts of about ``SLICE_CHARS`` bytes, or one longer
-    text, with the row that each begins at."""
+def slices(column: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of a column of texts of about ``most`` bytes, or one longer text, with
+    the row that each begins at."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(sizes)
     at = 0
     while at < len(column):
         before = int(total[at - 1]) if at else 0
-        stop = max(at + 1, int(np.searchsorted(total, before + SLICE_CHARS, "right")))
+        stop = max(at + 1, int(np.searchsorted(total, before + most, "right")))
         yield at, column.slice(at, stop - at)
         at = stop
